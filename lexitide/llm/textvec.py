@@ -41,6 +41,7 @@ class Words:
     starts: np.ndarray  # of each word, in bytes
     ends: np.ndarray
     first: np.ndarray  # of each text, its first word's index; one more at the end
+    bounds: np.ndarray  # of each text, its first byte; one more at the end
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -97,7 +98,7 @@ def words_of(column: pa.Array) -> Words:
     after[cut] = False
     starts = np.flatnonzero(inside & ~before[:n])
     ends = np.flatnonzero(inside & ~after[1:]) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets)
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
