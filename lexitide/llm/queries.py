@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import line_dedup, near_dup, quality_model, quality_rules, sharding
+from lexitide.llm import line_dedup, near_dup, packing, quality_model, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
+    out = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
     out = quality_model.score_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder("id") != 0)
@@ -43,6 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_near_dup": op4_near_dup,
+    "op6_packing": op6_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
