@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import line_dedup, near_dup, packing, quality_model, quality_rules, sharding
+from lexitide.llm import line_dedup, near_dup, packing, quality_model, quality_rules, secrets, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("passes")).alias("kept"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"] != "mixed")
+    n = lambda name, key="kind": F.size(F.filter("spans", lambda x: x[key] == name)).cast("long")
+    return out.select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"), n("example", "class").alias("n_example"), n("live", "class").alias("n_live"),
+    )
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -31,6 +42,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
     out = quality_model.score_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder("id") != 0)
@@ -48,8 +66,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scan": op2_secret_scan,
     "op4_near_dup": op4_near_dup,
     "op6_packing": op6_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
@@ -75,6 +95,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND (n_words = 0 OR (word_chars::DOUBLE / n_words BETWEEN 1.5 AND 25 AND n_symbols::DOUBLE / word_chars <= 0.08
     AND st::DOUBLE / n_words >= 0.02 AND n_dup_lines::DOUBLE / nl <= 0.5 AND n_words::DOUBLE / nl >= 1.5)) AS kept
 FROM b""",
+    "op7_url_filter": r"""
+WITH p AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (SELECT h.page_id, h.host, h.path, arg_max(r.rhost || r.rpath, length(r.rhost || r.rpath)) AS rule, arg_max(r.verdict, length(r.rhost || r.rpath)) AS v
+      FROM h LEFT JOIN r ON (h.host = r.rhost OR ends_with(h.host, '.' || r.rhost)) AND starts_with(h.path, r.rpath) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM m""",
     "op9_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
