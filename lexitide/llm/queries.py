@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import line_dedup, near_dup, packing, quality_model, quality_rules, secrets, sharding, url_filter
+from lexitide.llm import decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("item_ids", F.array_join("item_ids", ",")).withColumn("covered", F.round("covered", 4))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
     out = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op4_near_dup": op4_near_dup,
+    "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
     "op8_quality_classifier": op8_quality_classifier,
