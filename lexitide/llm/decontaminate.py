@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,26 +49,27 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template codes, word hashes, and each text's first token (one more at the end)."""
-    raw = words_of(column)
-    data, starts, ends = raw.data, raw.starts.copy(), raw.ends.copy()
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
+    raw, low = words_of(column), words_of(pc.utf8_lower(column))  # the same words, maybe of other byte lengths
+    data, starts, ends = low.data, low.starts.copy(), low.ends.copy()
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(low) + 1, np.int64)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     opens = np.ones(len(starts), dtype=bool)  # a sentence, or a line
     opens[1:] = _STOP[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
-    opens[raw.first[:-1][raw.counts > 0]] = True
+    opens[low.first[:-1][low.counts > 0]] = True
     for at, step in ((starts, 1), (ends, -1)):
         rows = np.arange(len(starts))
         while len(rows := rows[(starts[rows] < ends[rows]) & _PUNCT[data[np.minimum(at[rows] - (step < 0), len(data) - 1)]]]):
             at[rows] += step
     kept = starts < ends
-    doc = np.repeat(np.arange(len(raw)), raw.counts)[kept]
+    head = (raw.starts + starts - low.starts)[kept]  # marks that were cut are one byte in either
+    doc = np.repeat(np.arange(len(low)), low.counts)[kept]
     starts, ends, opens = starts[kept], ends[kept], opens[kept]
-    first = np.searchsorted(doc, np.arange(len(raw) + 1))
-    plain = Words(data, starts, ends, first, raw.bounds).hashes()
+    first = np.searchsorted(doc, np.arange(len(low) + 1))
+    plain = Words(data, starts, ends, first, low.bounds).hashes()
     codes = plain.copy()
-    second = data[np.minimum(starts + 1, ends - 1)]
-    codes[_UPPER[data[starts]] & _LOWER[second] & ~opens] = NAME
+    second = raw.data[np.minimum(head + 1, len(raw.data) - 1)]
+    codes[_UPPER[raw.data[head]] & _LOWER[second] & (ends - starts > 1) & ~opens] = NAME
     codes[np.isin(plain, unit_hashes())] = UNIT
     codes[_DIGIT[data[starts]]] = NUMBER
     return codes, plain, first
