@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, sharding, url_filter
+from lexitide.llm import decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, sharding, token_count, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents")).withColumn("best_score", F.round("best_score", 6))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -72,6 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
+    "op3_token_counts": op3_token_counts,
     "op4_near_dup": op4_near_dup,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
