@@ -2,14 +2,16 @@
 
 A document's set holds its distinct k-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) as 64-bit
 hashes. Documents with equal sets form a class at once, and its smallest id stands for it from then on. A
-SuperMinHash signature of each class is cut into bands. In each band's bucket a pivot, the smallest id, is
-verified against the others on full sets; then, as long as a bucket holds several components, further pivots of
-it from outside its largest component are verified against the members of other components, until no untested
-pair of different components is left. So a large group of copies costs about one test per member, no bucket is
-capped, and no pair within a bucket that could join two components is skipped. Groups come from distributed
-star contraction: each node hangs itself under the smallest node it sees, as union-find does.
+SuperMinHash signature of each class is cut into bands, and the smallest id of each band's bucket is its pivot.
+Members are verified against their pivots on full sets; a large group of copies is linked by one test per member.
 
-With 28 bands of 4 the chance that a pair at similarity 0.85 shares no bucket is about 1e-9, at 0.8 4e-7.
+Two members may be linked although one of them misses the pivot. So the members of a pivot that any of them misses
+are dealt into blocks of about `block` documents by a hash, and each two blocks meet in one bounded group, where a
+matrix product over shared shingles gives every intersection size exactly; what leaves it is a spanning forest of
+the links found, never the pairs. No bucket is capped, and no link is lost beyond the chance of the bands. Groups
+come from distributed star contraction: each node hangs itself under the smallest node it sees, as union-find does.
+
+With 40 bands of 6 the chance that a pair at similarity 0.85 shares no bucket is about 6e-9, at 0.8 5e-6.
 
 Edge cases: a null or empty text, or one of spaces only, has no shingles and stands alone; with fewer than k
 words the whole sequence is one shingle; repeated rows share a class; a null id counts as the largest id and
@@ -23,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.llm.common import written
@@ -137,8 +139,54 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("c"))
 
 
+def _forest(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links within a group (id, s, linked), as a spanning forest; those of two members linked to the pivot are known."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids = group.column("id").to_numpy()
+        known = group.column("linked").to_numpy(zero_copy_only=False)
+        lists = group.column("s").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), n)
+        _, code, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = seen[code] > 1
+        row, code = row[shared], code[shared]
+        names = np.cumsum(seen > 1) - 1
+        code = names[code]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        width = 2048
+        for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+            a, b = np.searchsorted(code, [low, low + width])
+            part = np.zeros((len(ids), width), dtype=np.float32)
+            part[row[a:b], code[a:b] - low] = 1
+            part = part[:, : int(code[b - 1]) - low + 1] if b > a else part[:, :0]
+            common += part @ part.T  # whole numbers below 2**24: exact
+        linked = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common.astype(np.int64))
+        linked &= ~(known[:, None] & known[None, :])
+        root = list(range(len(ids)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        u, v = [], []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
+            a, b = find(i), find(j)
+            if a != b and ids[i] != ids[j]:
+                root[max(a, b)] = min(a, b)
+                u.append(ids[i])
+                v.append(ids[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 28, rows: int = 4, pivots: int = 64
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, block: int = 256
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links at percent or more)."""
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -146,44 +194,25 @@ def near_duplicates(
     some = sketch.filter("n > 0")
     classes = written(some.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "bands")).alias("x")).select("f1", "f2", "n", "x.id", "x.bands"), "classes")
 
-    keys = classes.select("id", F.explode("bands").alias("b"))
-    shared = keys.groupBy("b").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p <> q").select("b", "p")
-    buckets = written(keys.join(shared, "b"), "buckets")
+    keys = classes.select(F.explode("bands").alias("b"), "id")
+    pivots = keys.groupBy("b").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p <> q").select("b", "p")
+    pairs = written(keys.join(pivots, "b").filter("id <> p").select("p", F.col("id").alias("u")).distinct(), "pairs")
 
-    # Full sets of documents that share a bucket. An id with several texts has a set for each of its classes.
-    near = buckets.select("id").distinct()
+    # Full sets of documents that share a bucket.
+    near = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("p").alias("id"))).distinct()
     sets = written(text.join(near, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_setter(k), "id long, s array<long>"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of (u, v), those at percent or more."""
-        pairs = pairs.join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v").join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u")
-        small, large = F.least(F.size("su"), F.size("sv")), F.greatest(F.size("su"), F.size("sv"))
-        common = F.size(F.array_intersect("su", "sv"))
-        return pairs.filter(100 * small >= percent * large).filter(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
-
-    links = written(verified(buckets.filter("id <> p").select(F.col("p").alias("u"), F.col("id").alias("v")).distinct()), "verified")
-    groups = components(links)
-    done = shared.select("b", F.col("p").alias("id"))
-    while True:
-        members = buckets.select("b", "id").join(groups, "id", "left").select("b", "id", F.coalesce("c", "id").alias("c"))
-        sizes = members.groupBy("b", "c").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("b").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-        members = written(members.join(main, "b"), "open-buckets")
-        fresh = members.filter("c <> main").join(done, ["b", "id"], "left_anti")
-        # Up to `pivots` of a bucket a round, by id; the rank is taken within short runs first, so no bucket is sorted whole in one task.
-        run = fresh.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("i", F.row_number().over(Window.partitionBy("b", "run").orderBy("id"))).filter(F.col("i") <= pivots)
-        chosen = run.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy("id"))).filter(F.col("i") <= pivots).select("b", "id", "c")
-        chosen = written(chosen, "pivots")
-        if chosen.isEmpty():
-            break
-        pairs = members.select("b", F.col("id").alias("v"), F.col("c").alias("cv")).join(chosen.select("b", F.col("id").alias("u"), F.col("c").alias("cu")), "b").filter("cu <> cv")
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        more = written(verified(pairs), "verified")
-        done = done.unionByName(chosen.select("b", "id"))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = components(links)
-    named = classes.join(groups, "id", "left").select("f1", "f2", "n", F.coalesce("c", "id").alias("c"))
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("p"), F.col("s").alias("sp")), "p")
+    common = F.size(F.array_intersect("su", "sp"))
+    tested = written(both.select("p", "u", (100 * common >= percent * (F.size("su") + F.size("sp") - common)).alias("linked")), "compared")
+
+    members = tested.groupBy("p").agg(F.count("*").alias("of"), F.min("linked").alias("settled")).filter("of > 1 and not settled")
+    dealt = tested.join(members, "p").withColumn("blocks", F.ceil(F.col("of") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("u", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = dealt.select("p", "u", "linked", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("p", F.col("u").alias("id"), "linked", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = dealt.join(sets, "id").groupBy("p", "i", "j").applyInArrow(_forest(percent), "u long, v long")
+
+    joined = components(tested.filter("linked").select("u", F.col("p").alias("v")).unionByName(found))
+    named = classes.join(joined, "id", "left").select("f1", "f2", "n", F.coalesce("c", "id").alias("c"))
     own = sketch.select("id", "n", F.when(F.col("n") > 0, F.col("f1")).otherwise(F.xxhash64("id", F.lit(3))).alias("f1"), "f2")
     out = own.join(named, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("c", "id").alias("c"))
     null_if_last = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
