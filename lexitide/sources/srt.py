@@ -56,7 +56,8 @@ def render_srt(segments: DataFrame) -> DataFrame:
 
 def write_srt(segments: DataFrame, path: str) -> None:
     """A folder media_id=... with one SRT text for each medium. The path must not be one that segments are read from."""
-    render_srt(segments).write.option("lineSep", "").partitionBy("media_id").text(path)
+    rows = render_srt(segments).withColumn("content", F.regexp_replace("content", "\n$", ""))  # the writer ends each row with a line break
+    rows.write.partitionBy("media_id").text(path)
 
 
 def default_output(path: str, language: str | None = None, polished: bool = False) -> str:
