@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +39,20 @@ def ascii_lower(c: Column) -> Column:
 def row_key(id_col: Column, text_col: Column) -> Column:
     """A key that is never null and equal for repeated rows only."""
     return F.xxhash64(id_col, text_col)
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, as bytes, with those set that are the top bits of a value of the only column, a 64-bit hash.
+
+    Fixed in size: at most 2**(bits - 6) words reach the driver however many rows there are. As a filter it lets
+    others pass by chance, the more the fuller it is, and never stops a row that belongs."""
+    rows = hashes.toDF("h").select(F.shiftrightunsigned("h", 64 - bits).alias("i"))
+    words = rows.groupBy(F.shiftrightunsigned("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    at = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

@@ -25,13 +25,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import written
+from lexitide.llm.common import bitmap_of, in_bitmap, written
 from lexitide.llm.textvec import chunks, mix, shingle_sets, words_of
 
 LAST_ID = 2**63 - 1
+BITMAP_BITS = 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,9 +102,10 @@ def _sketcher(k: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def _setter(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _setter(k: int, wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy(), BITMAP_BITS)))
             for a, b in chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
                 sets, first = shingle_sets(words_of(part.column(1)), k)
@@ -200,7 +203,9 @@ def near_duplicates(
 
     # Full sets of documents that share a bucket.
     near = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("p").alias("id"))).distinct()
-    sets = written(text.join(near, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_setter(k), "id long, s array<long>"), "sets")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(near.select(F.xxhash64("id")), BITMAP_BITS))  # 8 MB
+    sets = text.withColumn("h", F.xxhash64("id")).mapInArrow(_setter(k, wanted), "id long, s array<long>")
+    sets = written(sets.join(near, "id", "left_semi").dropDuplicates(["id", "s"]), "sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("p"), F.col("s").alias("sp")), "p")
     common = F.size(F.array_intersect("su", "sp"))
     tested = written(both.select("p", "u", (100 * common >= percent * (F.size("su") + F.size("sp") - common)).alias("linked")), "compared")
