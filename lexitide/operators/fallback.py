@@ -35,9 +35,7 @@ def split_position(text: Column, begin: Column, target: Column) -> Column:
     next_space = F.get(F.filter(_up(end, F.least(n, end + 10)), lambda c: _at(text, c) == " "), F.lit(0)) + 1
     word_end = F.when((end > begin) & (end < n) & letter(end - 1) & letter(end), F.get(F.filter(_up(end, F.least(n, end + 10)), lambda c: ~letter(c)), F.lit(0)))
     piece = strip(F.substring(text, begin + 1, end - begin))
-    bad = F.lit(False)
-    for w in lex.BAD_LINE_START:
-        bad = bad | (piece.startswith(w) & ~_at(piece, F.lit(len(w))).rlike("^[A-Za-z]$"))
+    bad = piece.rlike("^(?:" + "|".join(lex.BAD_LINE_START) + ")(?![A-Za-z])")
     past_bad = F.when(bad, F.get(F.filter(_up(end, F.least(end + 6, n)), mark), F.lit(0)) + 1)
     return F.coalesce(back_mark, back_space, next_space, word_end, past_bad, end).cast("int")
 

@@ -145,7 +145,7 @@ x AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx
     "merge_fragments": f"""WITH RECURSIVE {DOCS}, x AS (SELECT media_id, seg_idx * 100000 + pos // 3 AS seg_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(word, '' ORDER BY pos) AS text FROM w GROUP BY ALL),
 {_merged(50)} SELECT * FROM joined""",
     "repeat_loop_filter": f"WITH {DOCS}, looped AS (SELECT media_id, seg_idx, start_ms, end_ms, {LOOP} AS text FROM seg), {CLEANUP.replace('WHERE ' + _strip('text') + ' <> ' + chr(39) * 2, '', 1)} SELECT * FROM c2",
-    "merge_adjacent_duplicates": f"WITH {DOCS}, s2 AS (SELECT media_id, seg_idx, start_ms, end_ms, CASE WHEN seg_idx % 2 = 0 THEN upper(left(text, 2)) ELSE left(text, 2) END AS text FROM seg), {_adjacent('s2')} SELECT * FROM once",
+    "merge_adjacent_duplicates": f"WITH {DOCS}, s2 AS (SELECT media_id, seg_idx, start_ms, end_ms, CASE WHEN seg_idx % 2 = 0 THEN lower(left(text, 2)) ELSE left(text, 2) END AS text FROM seg), {_adjacent('s2')} SELECT * FROM once",
     "merge_speech_regions": """WITH e AS (SELECT CAST(user_id AS BIGINT) AS media_id, CAST(event_id AS BIGINT) AS idx, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS start_ms, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 + CAST(floor(abs(value) * 1000) AS BIGINT) AS end_ms
   FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
 g AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, idx) < 60000 THEN 0 ELSE 1 END AS opens FROM e),

@@ -122,7 +122,7 @@ def repeat_loop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut to two letters, in changing case, so that neighbours repeat."""
-    short = F.when(F.col("seg_idx") % 2 == 0, F.upper(F.left("text", F.lit(2)))).otherwise(F.left("text", F.lit(2)))
+    short = F.when(F.col("seg_idx") % 2 == 0, F.lower(F.left("text", F.lit(2)))).otherwise(F.left("text", F.lit(2)))
     return islands.merge_adjacent_duplicates(plain(document_segments(spark, sf_dir)).withColumn("text", short))
 
 
