@@ -44,14 +44,17 @@ def split_untimed(segments: DataFrame, *, max_chars: int = lex.MAX_CHARS, max_ms
     """Rows (media_id, seg_idx, start_ms, end_ms, text) with `line`: each within limits, or cut into pieces whose
     share of the time follows their characters; times are rounded to milliseconds."""
     rows = segments.select("media_id", "seg_idx", "start_ms", "end_ms", "text", strip(F.col("text")).alias("t"))
-    rows = rows.filter(F.length("t") > 0).withColumn("chars", unspaced_length(F.col("t"))).withColumn("ms", F.col("end_ms") - F.col("start_ms"))
+    rows = rows.filter(F.length("t") > 0).withColumn("chars", unspaced_length(F.col("t"))).withColumn("ms", F.col("end_ms") - F.col("start_ms")).withColumn("n", F.length("t"))
     pieces = F.greatest(F.ceil(F.col("chars") / max_chars), F.floor(F.col("ms") / max_ms) + 1, F.lit(1)).cast("int")
     rows = rows.withColumn("pieces", F.when((F.col("chars") <= max_chars) & (F.col("ms") <= max_ms), 1).otherwise(pieces))
     rows = rows.withColumn("target", F.floor(F.col("chars") / F.col("pieces")).cast("int"))
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(a: Column, i: Column) -> Column:
-        end = F.when(i == F.col("pieces"), F.length("t")).otherwise(split_position(F.col("t"), a["at"], F.col("target")))
+        # No rule looks further than ten characters past the target, so each reads a short window only.
+        window = F.array(F.substring(F.col("t"), a["at"] + 1, F.col("target") + 12))
+        cut = F.get(F.transform(window, lambda w: split_position(w, F.lit(0), F.col("target"))), F.lit(0))
+        end = F.when(i == F.col("pieces"), F.col("n")).otherwise(a["at"] + cut)
         piece = strip(F.substring(F.col("t"), a["at"] + 1, F.greatest(end - a["at"], F.lit(0))))
         return F.struct(F.greatest(end, a["at"]).cast("int").alias("at"), F.when(F.length(piece) > 0, F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
