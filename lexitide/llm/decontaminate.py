@@ -1,7 +1,8 @@
 """Operator 5: benchmark decontamination by template windows.
 
 Words lose punctuation at their ends and letter case; numbers, names (capitalised words inside a sentence) and
-units become typed placeholders. Windows of k such tokens are hashed. Those of a document that may occur in the
+units become typed placeholders. Windows of k such tokens are hashed, and beside them those of the plain lowered
+words, as capitals and sentence marks, which tell names, may differ in a copy. Those of a document that may occur in the
 benchmark, by a bitmap of fixed size that never misses one, are joined to benchmark windows by hash. Matches of
 one item on one offset are an alignment, whose slots must be consistent: a filler of the item always answers to
 the same filler of the document; of an inconsistent one only windows with equal fillers count. A document is contaminated by an item if consistent alignments cover `coverage`
@@ -79,20 +80,29 @@ def unit_hashes() -> np.ndarray:
     return words_of(pa.array([" ".join(UNITS)])).hashes()
 
 
-def windows_of(column: pa.Array, k: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text index, token position, hash and slot fillers (0 for plain words) of each usable window."""
+def windows_of(column: pa.Array, k: int, literals: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text index, token position, hash and fillers of each usable window: of its template and, where that has slots, of its words.
+
+    With bits, of documents, those that the bitmap knows. There every window counts by its words, and all of them are
+    fillers, as capitals may make other slots than in the item, which decides. Fillers of items are 0 for plain words."""
     codes, plain, first = tokens_of(column)
     n = max(0, len(codes) - k + 1)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     slot = codes < 200
-    h, words = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
+    h, exact, words = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
     for i in range(k):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : n + i] + np.uint64(i + 1))
+        exact = mix(exact * np.uint64(0x9E3779B97F4A7C15) + plain[i : n + i] + np.uint64(i + 1))
         words += ~slot[i : n + i]
-    whole = (doc[:n] == doc[k - 1 : n + k - 1]) & (words >= literals) if n else np.zeros(0, dtype=bool)
-    at = np.flatnonzero(whole)
+    whole = doc[:n] == doc[k - 1 : n + k - 1] if n else np.zeros(0, dtype=bool)
+    usable = whole & (words >= literals)
+    at, slotted = np.flatnonzero(usable), np.flatnonzero((usable if bits is None else whole) & (words < k))
+    at, h = np.concatenate([at, slotted]), np.concatenate([h[at], exact[slotted]])
+    if bits is not None:
+        hit = bits[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
+        at, h, slot = at[hit], h[hit], np.ones_like(slot)
     fillers = np.stack([np.where(slot[at + i], plain[at + i] | np.uint64(1), np.uint64(0)) for i in range(k)], axis=1) if len(at) else np.zeros((0, k), np.uint64)
-    return doc[at], at - first[doc[at]], h[at], fillers
+    return doc[at], at - first[doc[at]], h, fillers
 
 
 def _windows(k: int, literals: int, bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -101,10 +111,7 @@ def _windows(k: int, literals: int, bitmap) -> Callable[[Iterator[pa.RecordBatch
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
-                doc, pos, h, fillers = windows_of(part.column(1), k, literals)
-                if bits is not None:
-                    hit = bits[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
-                    doc, pos, h, fillers = doc[hit], pos[hit], h[hit], fillers[hit]
+                doc, pos, h, fillers = windows_of(part.column(1), k, literals, bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * k), pa.array(fillers.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(pos), pa.array(h.view(np.int64)), lists], names=["id", "pos", "h", "slots"])
 
@@ -130,7 +137,7 @@ def find_leaks(
     own = known.select("h", F.col("id").alias("item"), F.col("pos").alias("at"), F.col("slots").alias("item_slots"))
     pairs = hits.join(own, "h").withColumn("shift", F.col("pos") - F.col("at"))
     zipped = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"] != 0)
-    # An alignment has at most one match for each window of its item.
+    # An alignment has at most two matches for each window of its item: by template and by words.
     pairs = pairs.withColumn("filled", zipped).withColumn("same", F.forall("filled", lambda x: x["a"] == x["b"]))
     lines = pairs.groupBy("id", "item", "shift").agg(
         F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("same"), F.col("at"))).alias("same_at"), F.array_distinct(F.flatten(F.collect_list("filled"))).alias("slots"), F.min("same").alias("exact")
@@ -145,7 +152,7 @@ def find_leaks(
     )
     lines = lines.withColumn("run", fold + (k - 1))
     found = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.max("run").alias("run"), F.min("exact").alias("exact"))
-    total = known.groupBy(F.col("id").alias("item")).agg(F.count("*").alias("of"))
+    total = known.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("of"))
     found = found.join(total, "item").withColumn("covered", F.col("n") / F.col("of"))
     found = found.filter((F.col("covered") >= coverage) | (F.col("run") >= run_words))
     return found.select(F.col("id").alias("rk"), F.col("item").alias("item_id"), "covered", "exact")

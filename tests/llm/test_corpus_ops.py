@@ -237,6 +237,16 @@ def test_decontamination(spark):
     assert decontaminate.judge_documents(table(spark, EDGE), benchmark).count() == len(EDGE)
 
 
+def test_decontamination_ignores_case_and_sentence_marks(spark):
+    item = "If Alice has 12 apples and gives Bob 5 apples then how many apples does Alice keep?\nThen Bob walks home: Carol waits there. How many are left for Dave in all?"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    copies = [item.upper(), item.lower(), item.title(), re.sub(r"[.!?:]", "", item), item.replace("\n", " "), re.sub(r"[.!?:]", "", item).replace("\n", " ").title()]
+    other = "IF ALICE LIKES 12 PEARS AND LENDS BOB 5 BOOKS THEN WHO KNOWS WHAT ALICE READS?"
+    docs = table(spark, [*((i, f"x {t} y") for i, t in enumerate(copies)), (50, other), (51, other.title())])
+    got = {r.doc_id: (r.contaminated, r.covered, r.exact) for r in decontaminate.judge_documents(docs, benchmark).collect()}
+    assert got == {i: (True, 1.0, True) for i in range(len(copies))} | {50: (False, 0.0, False), 51: (False, 0.0, False)}
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
