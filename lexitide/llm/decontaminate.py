@@ -5,11 +5,12 @@ units become typed placeholders. Windows of k such tokens are hashed, and beside
 words, as capitals and sentence marks, which tell names, may differ in a copy. Those of a document that may occur in the
 benchmark, by a bitmap of fixed size that never misses one, are joined to benchmark windows by hash. Matches of
 one item on one offset are an alignment, whose slots must be consistent: a filler of the item always answers to
-the same filler of the document; of an inconsistent one only windows with equal fillers count. A document is contaminated by an item if consistent alignments cover `coverage`
-of the item's windows, or hold `run_words` words in a row of it. `exact` tells copies from re-parameterised ones.
+the same filler of the document; of an inconsistent one only windows with equal fillers count. A window with fewer than
+`literals` plain words has no template and counts by its words only. A document is contaminated by an item if
+consistent alignments cover `coverage` of the item's windows, or of those that have a template, or hold `run_words`
+words in a row of it. `exact` tells copies from re-parameterised ones.
 
-Edge cases: null or empty texts match nothing; items with fewer than k tokens, and windows with fewer than
-`literals` plain words, are not used; very long texts are read whole; repeated rows are judged alike; null ids
+Edge cases: null or empty texts match nothing; items with fewer than k tokens are not used; very long texts are read whole; repeated rows are judged alike; null ids
 of documents are kept, items with null ids ignored; empty tables on either side give no matches; other columns
 are ignored.
 """
@@ -80,11 +81,11 @@ def unit_hashes() -> np.ndarray:
     return words_of(pa.array([" ".join(UNITS)])).hashes()
 
 
-def windows_of(column: pa.Array, k: int, literals: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text index, token position, hash and fillers of each usable window: of its template and, where that has slots, of its words.
+def windows_of(column: pa.Array, k: int, literals: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text index, token position, hash, fillers, and whether it has a template, of each window: by template and, where slots are, by words.
 
-    With bits, of documents, those that the bitmap knows. There every window counts by its words, and all of them are
-    fillers, as capitals may make other slots than in the item, which decides. Fillers of items are 0 for plain words."""
+    With bits, of documents, those that the bitmap knows. All their words are fillers, as capitals may make other
+    slots than in the item, which decides. Fillers of items are 0 for plain words."""
     codes, plain, first = tokens_of(column)
     n = max(0, len(codes) - k + 1)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -96,13 +97,13 @@ def windows_of(column: pa.Array, k: int, literals: int, bits: np.ndarray | None
         words += ~slot[i : n + i]
     whole = doc[:n] == doc[k - 1 : n + k - 1] if n else np.zeros(0, dtype=bool)
     usable = whole & (words >= literals)
-    at, slotted = np.flatnonzero(usable), np.flatnonzero((usable if bits is None else whole) & (words < k))
+    at, slotted = np.flatnonzero(usable), np.flatnonzero(whole & ((words < k) | ~usable))
     at, h = np.concatenate([at, slotted]), np.concatenate([h[at], exact[slotted]])
     if bits is not None:
         hit = bits[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
         at, h, slot = at[hit], h[hit], np.ones_like(slot)
     fillers = np.stack([np.where(slot[at + i], plain[at + i] | np.uint64(1), np.uint64(0)) for i in range(k)], axis=1) if len(at) else np.zeros((0, k), np.uint64)
-    return doc[at], at - first[doc[at]], h, fillers
+    return doc[at], at - first[doc[at]], h, fillers, usable[at]
 
 
 def _windows(k: int, literals: int, bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -111,9 +112,9 @@ def _windows(k: int, literals: int, bitmap) -> Callable[[Iterator[pa.RecordBatch
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
-                doc, pos, h, fillers = windows_of(part.column(1), k, literals, bits)
+                doc, pos, h, fillers, usable = windows_of(part.column(1), k, literals, bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * k), pa.array(fillers.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(pos), pa.array(h.view(np.int64)), lists], names=["id", "pos", "h", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(pos), pa.array(h.view(np.int64)), lists, pa.array(usable)], names=["id", "pos", "h", "slots", "usable"])
 
     return run
 
@@ -123,7 +124,7 @@ def find_leaks(
 ) -> DataFrame:
     """(rk, item_id, covered, exact) of each row key and item that contaminates it; rk is row_key(id, text)."""
     spark = docs.sparkSession
-    schema = "id long, pos long, h long, slots array<long>"
+    schema = "id long, pos long, h long, slots array<long>, usable boolean"
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = written(items.mapInArrow(_windows(k, literals, None), schema), "item-windows").dropDuplicates(["id", "pos", "h"])
     words = known.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("i")).groupBy((F.col("i") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i % 64 as int))")).alias("bits"))
@@ -132,15 +133,15 @@ def find_leaks(
         bitmap[row["w"]] = row["bits"]
     held = spark.sparkContext.broadcast(bitmap.view(np.uint8))  # 2 MB
     text = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    hits = written(text.mapInArrow(_windows(k, literals, held), schema), "window-hits").dropDuplicates(["id", "pos", "h"])
+    hits = written(text.mapInArrow(_windows(k, literals, held), schema), "window-hits").drop("usable").dropDuplicates(["id", "pos", "h"])
 
-    own = known.select("h", F.col("id").alias("item"), F.col("pos").alias("at"), F.col("slots").alias("item_slots"))
+    own = known.select("h", F.col("id").alias("item"), F.col("pos").alias("at"), F.col("slots").alias("item_slots"), "usable")
     pairs = hits.join(own, "h").withColumn("shift", F.col("pos") - F.col("at"))
     zipped = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"] != 0)
     # An alignment has at most two matches for each window of its item: by template and by words.
     pairs = pairs.withColumn("filled", zipped).withColumn("same", F.forall("filled", lambda x: x["a"] == x["b"]))
     lines = pairs.groupBy("id", "item", "shift").agg(
-        F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("same"), F.col("at"))).alias("same_at"), F.array_distinct(F.flatten(F.collect_list("filled"))).alias("slots"), F.min("same").alias("exact")
+        F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("same"), F.col("at"))).alias("same_at"), F.collect_set(F.when(F.col("usable"), F.col("at"))).alias("usable_at"), F.array_distinct(F.flatten(F.collect_list("filled"))).alias("slots"), F.min("same").alias("exact")
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))
     lines = lines.withColumn("at", F.sort_array(F.when(consistent, F.col("at")).otherwise(F.col("same_at")))).filter(F.size("at") > 0)
@@ -151,9 +152,12 @@ def find_leaks(
         lambda s: s["best"],
     )
     lines = lines.withColumn("run", fold + (k - 1))
-    found = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.max("run").alias("run"), F.min("exact").alias("exact"))
-    total = known.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("of"))
-    found = found.join(total, "item").withColumn("covered", F.col("n") / F.col("of"))
+    places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    lines = lines.withColumn("usable_at", F.array_intersect("at", "usable_at"))
+    found = lines.groupBy("id", "item").agg(places("at").alias("n"), places("usable_at").alias("n_usable"), F.max("run").alias("run"), F.min("exact").alias("exact"))
+    total = known.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("of"), F.countDistinct(F.when(F.col("usable"), F.col("pos"))).alias("of_usable"))
+    share = F.greatest(F.col("n") / F.col("of"), F.when(F.col("of_usable") > 0, F.col("n_usable") / F.col("of_usable")))  # null is skipped
+    found = found.join(total, "item").withColumn("covered", share)
     found = found.filter((F.col("covered") >= coverage) | (F.col("run") >= run_words))
     return found.select(F.col("id").alias("rk"), F.col("item").alias("item_id"), "covered", "exact")
 

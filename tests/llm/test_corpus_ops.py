@@ -247,6 +247,19 @@ def test_decontamination_ignores_case_and_sentence_marks(spark):
     assert got == {i: (True, 1.0, True) for i in range(len(copies))} | {50: (False, 0.0, False), 51: (False, 0.0, False)}
 
 
+def test_decontamination_finds_text_dense_in_slots(spark):
+    short = "Compute 48 / 6 + 12 * 3 - 7 and 9"
+    rng = np.random.default_rng(5)
+    fact = lambda i: f"On {i} May {1900 + i} Ada Lovelace paid {3 * i} dollars to John Smith for {i} kg of wool near Old York {7 * i}."
+    long = " ".join(fact(int(i)) for i in rng.choice(np.arange(11, 90), 4, replace=False))
+    benchmark = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    own = long.split(" ")
+    parts = [" ".join(own[i : i + 30]) for i in (0, 17, 40)]
+    docs = table(spark, [(0, "x " + short + " y"), *((10 + i, "so " + t + " it is") for i, t in enumerate(parts)), (20, "Compute 50 / 5 + 11 * 2 - 6 and 8"), (21, " ".join(own[:9]))])
+    got = {r.doc_id: (r.contaminated, r.item_ids) for r in decontaminate.judge_documents(docs, benchmark).collect()}
+    assert got == {0: (True, [1]), **{10 + i: (True, [2]) for i in range(3)}, 20: (False, []), 21: (False, [])}
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
