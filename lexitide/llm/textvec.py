@@ -113,7 +113,7 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     left = first[1:][doc] - np.arange(n)  # words from here to the text's end
     for i in range(k):
         own = np.zeros(n, dtype=np.uint64)
-        own[: n - i] = h[i:] if i else h
+        own[: max(n - i, 0)] = h[i:]
         own[left <= i] = 0
         mixed = mix(mixed * np.uint64(0x9E3779B97F4A7C15) + own + np.uint64(i + 1))
     whole = (left >= k) | ((np.arange(n) == first[:-1][doc]) & (counts[doc] < k))

@@ -111,6 +111,14 @@ def test_shingles_across_batches_and_slices():
     assert sets[first[5]] in sets[first[6] : first[7]]
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_shingles_of_one_short_text(n):
+    text = " ".join("abcdefg"[:n])
+    sets, first = shingle_sets(words_of(pa.array([text])), 5)
+    beside, bounds = shingle_sets(words_of(pa.array([text, "one two three four five six seven eight"])), 5)
+    assert first.tolist() == [0, min(n, 1) if n < 6 else 2] and sets.tolist() == beside[: bounds[1]].tolist()
+
+
 def test_quality_rules_match_brute_force(spark, sample):
     path, rows = sample
     got = {r.doc_id: r for r in queries.op1_quality_rules(spark, path).collect()}
