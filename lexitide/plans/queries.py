@@ -205,7 +205,7 @@ def cue_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def translation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = pipeline.renumber(turns(spark, sf_dir)).withColumn("language", text.language_of_words(F.col("words")))
-    return cues.select("media_id", "cue_idx", layout.needs_translation(F.col("language")).alias("translate"), layout.batch_of(F.col("cue_idx")).alias("batch"), layout.baseline_text(F.when(F.col("cue_idx") % 2 == 0, "polished"), F.left("text", F.lit(20))).alias("baseline"), layout.wrap(F.left("text", F.lit(60))).alias("wrapped"))
+    return cues.select("media_id", "cue_idx", layout.needs_translation(F.col("language")).alias("translate"), layout.batch_of(F.col("cue_idx")).alias("batch"), layout.baseline_text(F.when(F.col("cue_idx") % 2 == 0, "polished"), F.col("text")).alias("baseline"), layout.wrap(F.col("text")).alias("wrapped"))
 
 
 CJK_SAMPLES = ("用Python写3行代码。", "Hello世界, ok!", "纯中文", "plain text", "版本2是New的", "a中b文c")

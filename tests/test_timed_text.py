@@ -189,3 +189,13 @@ def test_entry_without_corpus_folder():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_translation_plan_keeps_whole_turns(spark, tmp_path):
+    import __spark_entry__
+
+    turns = [" ".join(f"word{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40)), "short", "x" * 61]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(turns)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = __spark_entry__.queries()["translation_plan"](spark, str(tmp_path)).sort("cue_idx").collect()
+    assert [r.wrapped.replace("\n", "") for r in got] == turns and max(len(x) for r in got for x in r.wrapped.split("\n")) == 18
+    assert [r.baseline for r in got] == [turns[0], "polished", turns[2], "polished"]
