@@ -199,3 +199,9 @@ def test_translation_plan_keeps_whole_turns(spark, tmp_path):
     got = __spark_entry__.queries()["translation_plan"](spark, str(tmp_path)).sort("cue_idx").collect()
     assert [r.wrapped.replace("\n", "") for r in got] == turns and max(len(x) for r in got for x in r.wrapped.split("\n")) == 18
     assert [r.baseline for r in got] == [turns[0], "polished", turns[2], "polished"]
+
+
+def test_bench_times_all_headline_queries():
+    import bench
+
+    assert {"segment_lines", "merge_fragments", "fallback_split"} <= set(bench.QUERIES)
