@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions import lexicon as lex
@@ -121,9 +121,10 @@ def repeat_loop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut to two letters, in changing case, so that neighbours repeat."""
-    short = F.when(F.col("seg_idx") % 2 == 0, F.lower(F.left("text", F.lit(2)))).otherwise(F.left("text", F.lit(2)))
-    return islands.merge_adjacent_duplicates(plain(document_segments(spark, sf_dir)).withColumn("text", short))
+    """Every third line replaced by the one before it, in lower case, so that neighbours repeat."""
+    before = F.lag("text").over(Window.partitionBy("media_id").orderBy("seg_idx"))
+    copied = F.when(F.col("seg_idx") % 3 == 1, F.lower(F.coalesce(before, "text"))).otherwise(F.col("text"))
+    return islands.merge_adjacent_duplicates(plain(document_segments(spark, sf_dir)).withColumn("text", copied))
 
 
 def _event_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,3 +205,12 @@ def test_bench_times_all_headline_queries():
     import bench
 
     assert {"segment_lines", "merge_fragments", "fallback_split"} <= set(bench.QUERIES)
+
+
+def test_merge_adjacent_duplicates_compares_whole_lines(spark, monkeypatch):
+    from lexitide.plans import queries
+
+    data = [(100 * i, 100 * i + 50, f"The same start of line, then {i} differs.") for i in range(9)]
+    monkeypatch.setattr(queries, "document_segments", lambda *_: segs(spark, data))
+    got = rows(queries.merge_adjacent_duplicates(spark, ""), "seg_idx", "text")
+    assert got == [(i, x[2]) for i, x in enumerate(data) if i % 3 != 1]
