@@ -11,9 +11,13 @@ ZERO_WIDTH = "​"
 CJK = "[一-鿿㐀-䶿]"
 
 
+#: All white space, U+200B not among it.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends; U+200B is kept."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def visible(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.functions import lexicon as lex
+from lexitide.functions.fold import emitted, fold
 from lexitide.functions.text import pinned, strip, unspaced_length
 
 
@@ -48,20 +49,34 @@ def split_untimed(segments: DataFrame, *, max_chars: int = lex.MAX_CHARS, max_ms
     pieces = F.greatest(F.ceil(F.col("chars") / max_chars), F.floor(F.col("ms") / max_ms) + 1, F.lit(1)).cast("int")
     rows = rows.withColumn("pieces", F.when((F.col("chars") <= max_chars) & (F.col("ms") <= max_ms), 1).otherwise(pieces))
     rows = rows.withColumn("target", F.floor(F.col("chars") / F.col("pieces")).cast("int"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    rows = pinned(rows.filter("pieces = 1").withColumn("out", F.array("text")), "out").unionByName(_pieces(rows.filter("pieces > 1")))
+
+    def add(a: Column, x: Column) -> Column:
+        chars = a["s"] + unspaced_length(x)
+        return F.struct(chars.alias("s"), F.array_append(a["out"], chars).alias("out"))
+
+    # Characters before each piece, and after the last.
+    rows = pinned(rows.withColumn("cum", F.concat(F.array(F.lit(0)), emitted(fold(F.col("out"), F.lit(0), "int", "int", add)))), "cum")
+    rows = rows.select("media_id", "seg_idx", "start_ms", "end_ms", "chars", "ms", "pieces", F.posexplode(F.arrays_zip("out", F.col("cum").alias("from"), F.slice("cum", F.lit(2), F.size("out")).alias("to"))).alias("line", "x")).filter("x.out is not null")
+    edge = lambda c: F.col("start_ms") + F.round(F.col("ms") * F.col(c) / F.greatest("chars", F.lit(1))).cast("long")
+    one = F.col("pieces") == 1
+    return rows.select("media_id", "seg_idx", F.when(one, F.col("start_ms")).otherwise(edge("x.from")).alias("start_ms"), F.when(one, F.col("end_ms")).otherwise(edge("x.to")).alias("end_ms"), F.col("x.out").alias("text"), "line")
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Adds `out`, the pieces of `t`. Characters are an array, so a piece far into a text costs no more than the first."""
+    rows = pinned(rows.withColumn("__chars", F.split("t", "")), "__chars")
+    rows = pinned(rows.withColumn("__nth", F.sequence(F.lit(1), F.col("pieces"))), "__nth")
+    between = lambda a, n: F.array_join(F.slice("__chars", a + 1, n), "")
 
     def step(a: Column, i: Column) -> Column:
         # No rule looks further than ten characters past the target, so each reads a short window only.
-        window = F.array(F.substring(F.col("t"), a["at"] + 1, F.col("target") + 12))
-        cut = F.get(F.transform(window, lambda w: split_position(w, F.lit(0), F.col("target"))), F.lit(0))
-        end = F.when(i == F.col("pieces"), F.col("n")).otherwise(a["at"] + cut)
-        piece = strip(F.substring(F.col("t"), a["at"] + 1, F.greatest(end - a["at"], F.lit(0))))
-        return F.struct(F.greatest(end, a["at"]).cast("int").alias("at"), F.when(F.length(piece) > 0, F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
-
-    split = F.aggregate(F.sequence(F.lit(1), F.col("pieces")), zero, step, lambda a: a["out"])
-    rows = pinned(rows.withColumn("out", F.when(F.col("pieces") == 1, F.array("text")).otherwise(split)), "out")
-    rows = rows.withColumn("cum", F.aggregate("out", F.expr("cast(array(0) as array<int>)"), lambda a, x: F.array_append(a, F.element_at(a, -1) + unspaced_length(x))))
-    rows = pinned(rows, "cum").select("media_id", "seg_idx", "start_ms", "end_ms", "chars", "ms", "pieces", "cum", F.posexplode("out").alias("line", "text"))
-    edge = lambda i: F.col("start_ms") + F.round(F.col("ms") * F.get("cum", i) / F.greatest("chars", F.lit(1))).cast("long")
-    one = F.col("pieces") == 1
-    return rows.select("media_id", "seg_idx", F.when(one, F.col("start_ms")).otherwise(edge(F.col("line"))).alias("start_ms"), F.when(one, F.col("end_ms")).otherwise(edge(F.col("line") + 1)).alias("end_ms"), "text", "line")
+        at = a["s"]
+        cut = F.get(F.transform(F.array(between(at, F.col("target") + 12)), lambda w: split_position(w, F.lit(0), F.col("target"))), F.lit(0))
+        end = F.when(i == F.col("pieces"), F.col("n")).otherwise(at + cut)
+        made = F.array(F.struct(F.greatest(end, at).cast("int").alias("end"), strip(between(at, F.greatest(end - at, F.lit(0)))).alias("piece")))
+        done = F.transform(made, lambda m: F.struct(m["end"].alias("s"), F.when(F.length(m["piece"]) > 0, F.array_append(a["out"], m["piece"])).otherwise(a["out"]).alias("out")))
+        return F.get(done, F.lit(0))
+
+    rows = rows.withColumn("out", emitted(fold(F.col("__nth"), F.lit(0), "int", "string", step)))
+    return pinned(rows.drop("__chars", "__nth"), "out")

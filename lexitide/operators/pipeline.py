@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions import lexicon as lex
-from lexitide.functions.text import language_of_words, pause_ms
+from lexitide.functions.text import language_of_words, pause_ms, pinned
 from lexitide.operators.clean import clean_words, dedup_segments, drop_empty, drop_hallucinations
 from lexitide.operators.fallback import split_untimed
 from lexitide.operators.islands import merge_adjacent_duplicates
@@ -24,23 +24,24 @@ def refine(
     they stay. merge=False leaves fragments apart."""
     if fallback not in ("keep", "split"):
         raise ValueError("fallback: keep or split")
+    plain = ["media_id", "seg_idx", "start_ms", "end_ms", "text"]
     rows = dedup_segments(segments).withColumn("words", F.coalesce("words", F.expr(f"cast(array() as {WORDS})")))
     medium = Window.partitionBy("media_id")
-    rows = rows.withColumn("__timed", F.max(F.size("words") > 0).over(medium)).withColumn("__of", F.count("*").over(medium))
-    plain = ["media_id", "seg_idx", "start_ms", "end_ms", "text"]
-    loose = rows.filter(~F.col("__timed") & (F.col("__of") > 1)).select(*plain)
-    kept = rows.filter(F.col("__timed") | (F.col("__of") == 1))
-    loose = merge_fragments(loose, max_chars * 2, max_gap_ms=max_gap_ms) if merge else loose
-    whole = kept.filter(F.size("words") == 0).select(*plain).unionByName(loose)
+    rows = rows.withColumn("__has", F.size("words") > 0)
+    rows = rows.withColumn("__loose", ~F.max("__has").over(medium) & (F.count("*").over(medium) > 1))
+    whole = rows.filter("__loose").select(*plain)
+    whole = merge_fragments(whole, max_chars * 2, max_gap_ms=max_gap_ms) if merge else whole
+    kept = rows.filter("not __loose")
     if fallback == "split":
-        whole = split_untimed(whole, max_chars=max_chars, max_ms=max_ms)
+        whole = split_untimed(kept.filter("not __has").select(*plain).unionByName(whole), max_chars=max_chars, max_ms=max_ms)
+        kept = kept.filter("__has")
     else:
         whole = whole.withColumn("line", F.lit(0))
-    timed = kept.filter(F.size("words") > 0).withColumn("words", clean_words(F.col("words")))
-    none = timed.filter(F.size("words") == 0).select(*plain, F.lit(0).alias("line"))
-    lined = with_lines(timed.filter(F.size("words") > 0), pause_ms(language_of_words(F.col("words")), pause), max_chars, max_ms)
-    lined = lined.select("media_id", "seg_idx", F.posexplode("lines").alias("line", "x")).select("media_id", "seg_idx", "x.start_ms", "x.end_ms", "x.text", "line")
-    lines = lined.unionByName(whole).unionByName(none)
+    timed = pinned(kept.withColumn("words", clean_words(F.col("words"))), "words")
+    lined = with_lines(timed, pause_ms(language_of_words(F.col("words")), pause), max_chars, max_ms)
+    own = F.array(F.struct("start_ms", "end_ms", "text", "words"))
+    lined = lined.select("media_id", "seg_idx", F.posexplode(F.when(F.size("words") > 0, F.col("lines")).otherwise(own)).alias("line", "x"))
+    lines = lined.select("media_id", "seg_idx", "x.start_ms", "x.end_ms", "x.text", "line").unionByName(whole)
     number = F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "line")).cast("long") - 1
     lines = lines.withColumn("seg_idx", number).drop("line")
     return merge_fragments(lines, max_chars, max_gap_ms=max_gap_ms) if merge else lines.select(*plain)

@@ -70,8 +70,8 @@ def visible_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = segment.gap_features(F.col("words"), F.lit(lex.PAUSE_OTHER_MS))
-    rows = turns(spark, sf_dir).select("media_id", "seg_idx", F.posexplode(f).alias("pos", "f")).filter("pos > 0")
+    rows = segment.with_features(turns(spark, sf_dir), F.lit(lex.PAUSE_OTHER_MS))
+    rows = rows.select("media_id", "seg_idx", F.posexplode("__f").alias("pos", "f")).filter("pos > 0")
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -85,8 +85,8 @@ def gap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def next_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The successor of every word, not only of line starts."""
-    rows = turns(spark, sf_dir).filter(F.size("words") > 0).withColumn("f", segment.gap_features(F.col("words"), F.lit(lex.PAUSE_OTHER_MS)))
-    cuts = F.transform(F.sequence(F.lit(0), F.size("f") - 1), lambda i: segment.next_cut(F.col("f"), i, F.lit(lex.MAX_CHARS + 1), lex.MAX_CHARS, lex.MAX_LINE_MS))
+    rows = segment.with_features(turns(spark, sf_dir).filter(F.size("words") > 0), F.lit(lex.PAUSE_OTHER_MS)).withColumnRenamed("__f", "f")
+    cuts = F.transform(F.sequence(F.lit(0), F.size("f") - 1), lambda i: segment.next_cut(F.col("f"), i, F.lit(0), lex.MAX_CHARS, lex.MAX_LINE_MS))
     return rows.select("media_id", "seg_idx", F.posexplode(cuts).alias("pos", "next")).select("media_id", "seg_idx", F.col("pos").cast("long").alias("pos"), F.col("next").cast("long").alias("next"))
 
 

@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.functions.text import STAMP, format_ms, stamp_ms, strip
+from lexitide.functions.fold import emitted, fold
+from lexitide.functions.text import STAMP, format_ms, pinned, stamp_ms, strip
 from lexitide.operators.pipeline import renumber
 
-_BLOCK = "struct<stamp:string,lines:array<string>>"
-
-
-def srt_blocks(content: Column) -> Column:
-    """Blocks of an SRT text: after a line of digits the next line is read as the timestamp, whatever it is, then
-    text lines up to a blank one. Digit lines inside a block are text; index values are not used."""
-    lines = F.split(content, "\r\n|\r|\n")
-    zero = F.struct(F.lit(0).alias("mode"), F.expr(f"cast(null as {_BLOCK})").alias("open"), F.expr(f"cast(array() as array<{_BLOCK}>)").alias("done"))
-
-    def step(a: Column, raw: Column) -> Column:
-        line = strip(raw)
-        blank = F.length(line) == 0
-        opened = F.struct(line.alias("stamp"), F.expr("cast(array() as array<string>)").alias("lines"))
-        longer = F.struct(a["open"]["stamp"].alias("stamp"), F.array_append(a["open"]["lines"], line).alias("lines"))
-        shut = F.struct(F.lit(0).alias("mode"), F.expr(f"cast(null as {_BLOCK})").alias("open"), F.array_append(a["done"], a["open"]).alias("done"))
-        return (
-            F.when((a["mode"] == 0) & line.rlike(r"^\d+$"), F.struct(F.lit(1).alias("mode"), a["open"].alias("open"), a["done"].alias("done")))
-            .when(a["mode"] == 0, a)
-            .when(a["mode"] == 1, F.struct(F.lit(2).alias("mode"), opened.alias("open"), a["done"].alias("done")))
-            .when(blank, shut)
-            .otherwise(F.struct(F.lit(2).alias("mode"), longer.alias("open"), a["done"].alias("done")))
+SKIPPED, INDEX, STAMP_LINE, TEXT, BLANK = range(5)
+
+
+def line_roles(lines: Column) -> Column:
+    """What each line of an SRT text (pinned, stripped) is: after a line of digits the next one is read as the timestamp,
+    whatever it is, then text lines up to a blank one. Digit lines inside a block are text; index values are not used."""
+
+    def step(a: Column, line: Column) -> Column:
+        before = a["s"]
+        outside = before.isin(SKIPPED, BLANK)
+        role = (
+            F.when(outside, F.when(line.rlike(r"^\d+$"), INDEX).otherwise(SKIPPED)).when(before == INDEX, STAMP_LINE).when(F.length(line) == 0, BLANK).otherwise(TEXT)
         )
+        return F.struct(role.alias("s"), F.array_append(a["out"], role).alias("out"))
 
-    end = lambda a: F.when(a["open"].isNotNull(), F.array_append(a["done"], a["open"])).otherwise(a["done"])
-    return F.filter(F.aggregate(lines, zero, step, end), lambda b: b["stamp"].rlike(STAMP))
+    return emitted(fold(lines, F.lit(SKIPPED), "int", "int", step))
 
 
 def parse_srt(files: DataFrame) -> DataFrame:
     """Segments (media_id, seg_idx, start_ms, end_ms, text) of rows (media_id, content)."""
-    rows = files.select("media_id", F.posexplode(srt_blocks(F.col("content"))).alias("seg_idx", "b"))
+    rows = pinned(files.select("media_id", F.transform(F.split("content", "\r\n|\r|\n"), strip).alias("lines")), "lines")
+    rows = pinned(rows.withColumn("roles", line_roles(F.col("lines"))), "roles")
+    places = lambda role: F.filter(F.transform("roles", lambda r, i: F.when(r == role, i)), lambda i: i.isNotNull())
+    rows = pinned(pinned(rows.withColumn("stamps", places(STAMP_LINE)), "stamps").withColumn("blanks", places(BLANK)), "blanks")
+    # Each block has one timestamp line, and one blank line unless the text ends first.
+    end = lambda j: F.coalesce(F.get("blanks", j), F.size("lines"))
+    block = lambda i, j: F.struct(F.get("lines", i).alias("stamp"), F.slice("lines", i + 2, end(j) - i - 1).alias("lines"))
+    blocks = F.filter(F.transform("stamps", block), lambda b: b["stamp"].rlike(STAMP))
+    rows = rows.select("media_id", F.posexplode(blocks).alias("seg_idx", "b"))
     return rows.select("media_id", F.col("seg_idx").cast("long").alias("seg_idx"), stamp_ms(F.col("b.stamp"), 1).alias("start_ms"), stamp_ms(F.col("b.stamp"), 5).alias("end_ms"), F.array_join("b.lines", " ").alias("text"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexitide.functions.fold import emitted, fold
 from lexitide.functions.text import pinned, strip
 
 BREAK = r"[\x20\x09-\x0D]+"
@@ -15,29 +16,36 @@ def tokens(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, BREAK)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def _timed(toks: Column) -> Column:
-    """Words with times from 0: 60 ms a character, then a pause by the last character or position."""
-    last = lambda t: F.right(t, F.lit(1))
-    pause = lambda t, i: F.when(last(t).isin(".", "!", "?"), 550).when(last(t) == ",", 260).otherwise(40 * (i % 4))
-    parts = F.transform(toks, lambda t, i: F.struct(F.when(i == 0, t).otherwise(F.concat(F.lit(" "), t)).alias("word"), (60 * F.length(t)).cast("long").alias("ms"), pause(t, i).cast("long").alias("pause")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<word:string,start_ms:bigint,end_ms:bigint>>)").alias("out"))
-    step = lambda a, x: F.struct(
-        (a["at"] + x["ms"] + x["pause"]).alias("at"), F.array_append(a["out"], F.struct(x["word"].alias("word"), a["at"].alias("start_ms"), (a["at"] + x["ms"]).alias("end_ms"))).alias("out")
-    )
-    return F.aggregate(parts, zero, step)
+def pause_after(t: Column, i: Column) -> Column:
+    """Milliseconds after a word, by its last character or its position."""
+    last = F.right(t, F.lit(1))
+    return F.when(last.isin(".", "!", "?"), 550).when(last == ",", 260).otherwise(40 * (i % 4)).cast("long")
+
+
+def _timed(toks: Column, base: Column) -> Column:
+    """Words with times from `base`: 60 ms a character, then the pause."""
+
+    def step(a: Column, t: Column) -> Column:
+        at, i = a["s"]["at"], a["s"]["i"]
+        end = at + (60 * F.length(t)).cast("long")
+        word = F.struct(F.when(i == 0, t).otherwise(F.concat(F.lit(" "), t)).alias("word"), at.alias("start_ms"), end.alias("end_ms"))
+        return F.struct(F.struct((end + pause_after(t, i)).alias("at"), (i + 1).alias("i")).alias("s"), F.array_append(a["out"], word).alias("out"))
+
+    zero = F.struct(base.alias("at"), F.lit(0).alias("i"))
+    return emitted(fold(toks, zero, "struct<at:bigint,i:int>", "struct<word:string,start_ms:bigint,end_ms:bigint>", step))
 
 
 def segments_of(rows: DataFrame) -> DataFrame:
-    """Segments with words of rows (media_id, seg_idx, text); each starts where the medium's last one ended, pause included."""
-    rows = rows.select("media_id", "seg_idx", "text", _timed(tokens(F.col("text"))).alias("t"))
-    rows = pinned(rows, "t")
-    before = F.sum("t.at").over(Window.partitionBy("media_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1))
+    """Segments with words of rows (media_id, seg_idx, text); each starts where the medium's last one ended, pause included.
+
+    Times of segments are sums, so words are timed only where they are asked for; pin them before use inside lambdas."""
+    rows = pinned(rows.select("media_id", "seg_idx", "text", tokens(F.col("text")).alias("toks")), "toks")
+    total = F.aggregate(F.transform("toks", lambda t, i: 60 * F.length(t) + pause_after(t, i)), F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = rows.withColumn("total", total)
+    before = F.sum("total").over(Window.partitionBy("media_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("base", F.coalesce(before, F.lit(0)))
-    words = F.transform("t.out", lambda w: F.struct(w["word"].alias("word"), (w["start_ms"] + F.col("base")).alias("start_ms"), (w["end_ms"] + F.col("base")).alias("end_ms")))
-    rows = rows.select("media_id", "seg_idx", "base", strip(F.col("text")).alias("text"), words.alias("words"))
-    rows = pinned(rows, "words")
-    end = F.when(F.size("words") > 0, F.element_at("words", -1)["end_ms"]).otherwise(F.col("base"))
-    return rows.select("media_id", "seg_idx", F.col("base").alias("start_ms"), end.alias("end_ms"), "text", "words")
+    end = F.col("base") + F.when(F.size("toks") > 0, F.col("total") - pause_after(F.element_at("toks", -1), F.size("toks") - 1)).otherwise(0)
+    return rows.select("media_id", "seg_idx", F.col("base").alias("start_ms"), end.alias("end_ms"), strip(F.col("text")).alias("text"), _timed(F.col("toks"), F.col("base")).alias("words"))
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
