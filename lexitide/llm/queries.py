@@ -28,6 +28,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"), n("example", "class").alias("n_example"), n("live", "class").alias("n_live"),
+        F.array_join(F.transform("spans", lambda x: x["n_owners"].cast("string")), ",").alias("owners"), F.array_join(F.transform("spans", lambda x: x["n_repos"].cast("string")), ",").alias("repos"),
     )
 
 

@@ -2,8 +2,8 @@
 
 Candidates of a text: assignments to secret-like names, access ids, long hex runs, and long mixed tokens with
 high entropy. Each candidate value is hashed and counted corpus-wide by distinct owners and distinct
-(owner, repository) pairs. Values that several owners hold are `example`s, copied widely; values of one owner
-that look live are `live`; the rest are `local`. Assignments, access ids and hex runs are spans in any case;
+(owner, repository) pairs. Values that `example_owners` owners or `example_repos` repositories hold are `example`s,
+copied widely; other values that look live are `live`; the rest are `local`. Assignments, access ids and hex runs are spans in any case;
 a mixed token becomes a span only if it is live.
 
 Edge cases: a null or empty text has no spans; spans are in code points, end exclusive; very long texts are read
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import row_key, written
+from lexitide.llm.common import row_key, spread_join, written
 from lexitide.llm.textvec import chunks
 
 #: Kinds in the order in which spans that start together are listed.
@@ -82,7 +82,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(found, pa.list_(_CANDIDATE))], names=[*(part.schema.names[i] for i in keep), "found"])
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang", example_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang", example_owners: int = 2, example_repos: int = 3) -> DataFrame:
     """Per row: doc_id and spans, an array of (kind, start, end, class, n_owners, n_repos) by start, then kind.
 
     repo_col names repositories within an owner; without it each owner is one repository."""
@@ -90,15 +90,15 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), as_text(owner_col).alias("owner"), as_text(repo_col).alias("repo"), row_key(F.col(id_col), F.col(text_col)).alias("rk"))
     found = "array<struct<kind:int,start:long,end:long,hash:long,live:boolean>>"
-    rows = written(rows.mapInArrow(_scan, f"doc_id {id_type}, owner string, repo string, rk long, found {found}"), "candidates")
+    rows = written(rows.mapInArrow(_scan, f"doc_id {id_type}, owner string, repo string, rk struct<a:long,b:long>, found {found}"), "candidates")
     each = rows.filter(F.size("found") > 0).select("rk", "owner", "repo", F.explode("found").alias("f")).select("rk", "owner", "repo", "f.*")
     # One row per value, owner and repository first, so that a value that very many rows hold is summed where it lies.
     places = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
     owners = places.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     values = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
     kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("kind") + 1)
-    label = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("live"), "live").otherwise("local")
-    spans = each.dropDuplicates(["rk", "kind", "start", "end", "hash"]).join(values, "hash").withColumn("class", label)
+    label = F.when((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos), "example").when(F.col("live"), "live").otherwise("local")
+    spans = spread_join(each.dropDuplicates(["rk", "kind", "start", "end", "hash"]), values, ["hash"], ["rk"], counted=each).withColumn("class", label)
     spans = spans.filter((F.col("kind") < 3) | (F.col("class") == "live"))
     span = F.struct("start", F.col("kind").alias("order"), "end", kind.alias("kind"), "class", "n_owners", "n_repos")
     by_row = spans.groupBy("rk").agg(F.sort_array(F.collect_list(span)).alias("spans"))
