@@ -56,17 +56,18 @@ def row_key(id_col: Column, text_col: Column) -> Column:
     return F.struct(F.xxhash64(id_col, text_col).alias("a"), F.xxhash64(F.lit(7), id_col, text_col).alias("b"))
 
 
-#: Hashes are dealt over 2**HOT_BITS buckets; one with more than 2**-HOT_SHARE of the rows is hot, so at most 2**HOT_SHARE are.
-HOT_BITS, HOT_SHARE = 16, 12
+#: Hashes are dealt over 2**HOT_BITS buckets; one with more than 2**-HOT_SHARE of the rows, and more than HOT_ROWS, is hot,
+#: so at most 2**HOT_SHARE are.
+HOT_BITS, HOT_SHARE, HOT_ROWS = 16, 12, 256
 
 
 def hot_buckets(hashes: DataFrame) -> DataFrame:
     """(__bucket, __salts) of the hot buckets of a column of 64-bit hashes: at most 2**HOT_SHARE rows, whatever the data.
 
-    __salts deals a bucket's rows into parts of at most 2**-HOT_SHARE of all rows. Counts are summed where rows lie."""
+    __salts deals a bucket's rows into parts of at most that share, or HOT_ROWS. Counts are summed where rows lie."""
     counts = hashes.toDF("h").groupBy(_bucket(F.col("h")).alias("__bucket")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.select("__bucket", F.ceil(F.col("n") * 2**HOT_SHARE / total).cast("int").alias("__salts")).filter("__salts > 1")
+    return counts.select("__bucket", F.ceil(F.col("n") / F.greatest(total / 2**HOT_SHARE, F.lit(HOT_ROWS))).cast("int").alias("__salts")).filter("__salts > 1")
 
 
 def _bucket(h: Column) -> Column:
