@@ -47,8 +47,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
-    out = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    out = packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), with_ids=False))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
