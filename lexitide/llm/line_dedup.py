@@ -63,7 +63,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """All columns of docs with `__n_lines`, `__n_dropped`, `__keep_runs` (the bitmap) and `__kept_text` added.
+    """All columns of docs with `__n_lines`, `__n_dropped`, `__keep_runs` (the bitmap, with its last run) and `__kept_text` added.
 
     Builds line keys and bitmaps (a pass over docs) when called; the rest runs with the frame."""
     maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
@@ -81,4 +81,5 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     both = both.withColumn("__n_lines", F.size(lines_of(F.col(text_col))))
     both = both.withColumn("__n_dropped", F.aggregate(F.filter(F.coalesce("__runs", none), lambda _, i: i % 2 == 1), F.lit(0), lambda s, n: s + n))
     both = both.withColumn("__kept_text", F.when(F.col("__runs").isNotNull(), F.array_join(kept, "\n")).otherwise(text))
-    return both.withColumn("__keep_runs", F.coalesce("__runs", none)).drop("__rk", "__lines", "__at", "__runs")
+    total = F.aggregate(F.coalesce("__runs", none), F.lit(0), lambda s, n: s + n)
+    return both.withColumn("__keep_runs", F.concat(F.coalesce("__runs", none), F.array(F.col("__n_lines") - total))).drop("__rk", "__lines", "__at", "__runs")
