@@ -101,6 +101,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, N_STATS)
 
 
+def batch_statistics(column: pa.Array) -> np.ndarray:
+    """statistics, chunk by chunk."""
+    return np.concatenate([np.zeros((0, N_STATS)), *(statistics(column.slice(a, b - a)) for a, b in chunks(column))])
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in chunks(batch.column(1)):
@@ -121,10 +126,11 @@ class Model:
     levels: np.ndarray  # calibrated
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.cos(np.clip((x - self.mean) / self.scale, -6, 6) @ self.w + self.phase) * np.sqrt(2 / self.w.shape[1]), np.ones((len(x), 1))], axis=1)
+        near = np.einsum("ij,jk->ik", np.clip((x - self.mean) / self.scale, -6, 6), self.w)  # no BLAS threads: a task has one core
+        return np.concatenate([np.cos(near + self.phase) * np.sqrt(2 / self.w.shape[1]), np.ones((len(x), 1))], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.beta
+        return np.einsum("ij,j->i", self.features(x), self.beta)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(x), self.knots, self.levels), 0, 1)
@@ -140,7 +146,7 @@ def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
     knots = np.array([b[2] / b[0] for b in blocks])
-    levels = np.array([(b[1] + 0.5 * (b[1] / b[0])) / (b[0] + 0.5) for b in blocks])
+    levels = np.array([b[1] / b[0] for b in blocks])
     return knots, levels
 
 
@@ -193,41 +199,40 @@ def fit(rows: DataFrame, *, features: int = 192, width: float = 3.0, ridge: floa
     return model
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x): the statistics of every row's whole text, written."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return written(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(_measure, "id long, x array<double>"), "statistics")
-
-
-def fit_quality(stats: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id", label_col: str = "quality", max_fit_rows: int = 50_000) -> Model:
-    """learn: over the column `id`, which labelled rows may be learnt from (all if None)."""
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, label_col: str = "quality", max_fit_rows: int = 50_000
+) -> Model:
+    """learn: over the column `id`, which labelled rows may be learnt from (all if None). Only the sample's texts are read."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(learn if learn is not None else F.lit(True)).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).filter("y = y2").drop("y2")
-    sample = stats.join(known, "id").withColumn("rk", F.xxhash64("id", "x")).orderBy("rk", "id").limit(max_fit_rows)
-    return fit(written(sample, "fit-sample"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sample = known.join(rows.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_fit_rows)
+    sample = written(sample, "fit-ids")  # at most max_fit_rows, so it can be broadcast
+    stats = rows.join(F.broadcast(sample.select("id")), "id", "left_semi").mapInArrow(_measure, "id long, x array<double>")
+    # Rows that share an id may be more than ids, so the bound holds once more.
+    chosen = stats.join(F.broadcast(sample), "id").withColumn("rk", F.xxhash64("id", "x")).orderBy("rk", "id").limit(max_fit_rows)
+    return fit(written(chosen, "fit-sample"))
 
 
-def score_ids(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, score) of every row; score is 0 to 1, higher where label 1 is likelier."""
-    stats = measured(docs, id_col, text_col)
-    model = fit_quality(stats, labels, id_col=id_col, **options)
+def score_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """All columns of docs with `__score` added: 0 to 1, higher where label 1 is likelier. Fits when called; scoring reads
+    each text once."""
+    model = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **options)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], names=["doc_id", "score"])
+            own = batch_statistics(batch.column(batch.schema.get_field_index(text_col)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(own))], names=[*batch.schema.names, "__score"])
 
-    return stats.mapInArrow(score, "doc_id long, score double")
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All columns of docs with `__score` added; reads each text once more instead of joining."""
-    model = fit_quality(measured(docs, id_col, text_col), labels, id_col=id_col, **options)
+def score_ids(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, score) of every row."""
+    model = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **options)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for a, b in chunks(batch.column(at)):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(statistics(part.column(at))))], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch_statistics(batch.column(1))))], names=["doc_id", "score"])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
