@@ -39,9 +39,12 @@ N_STATS = 16
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, dtype=np.float64)
-    np.cumsum(values, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums of values, all of which lie in some text, by text."""
+    out = np.zeros(len(bounds) - 1)
+    some = bounds[1:] > bounds[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, bounds[:-1][some])
+    return out
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,8 +68,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     kinds = np.stack([_sums(table[data], words.bounds) for table in _CLASS], axis=1)
     chars = np.diff(words.bounds) - kinds[:, 7]
     h = words.hashes()
-    word_bytes = _sums((words.ends - words.starts).astype(np.float64), first)
-    short = _sums((words.ends - words.starts) <= 3, first)
+    word_bytes = _sums(words.ends - words.starts, first)
+    short = _sums(((words.ends - words.starts) <= 3).astype(np.int32), first)
     upper_words = np.zeros(len(h)) if not len(h) else (_CLASS[0][data[words.starts]] & _CLASS[0][data[np.minimum(words.starts + 1, words.ends - 1)]] & (words.ends - words.starts > 1))
     pairs_same = np.zeros(len(h))
     if len(h) > 1:
