@@ -5,12 +5,13 @@ next stage's docs. All but the last return the columns of documents. A stage jud
 
 1. quality: rows whose calibrated score is below 0.3 go.
 2. line_dedup: lines of 10 or more characters stay in the smallest document that holds them only; n_chars follows.
-3. near_dup: of each group at Jaccard 0.8 or more on five-word shingles the smallest doc_id stays.
+3. near_dup: of each group at Jaccard 0.8 or more on five-word shingles one row stays, of the smallest doc_id.
 4. decontaminate: documents that hold a benchmark item go.
-5. pack: token pieces of the rest in sequences of 2048.
+5. pack: token pieces of the rest, with their ids, in sequences of 2048.
 
-Null and empty texts pass every filter but quality, where they get the score of empty texts; repeated rows of one
-doc_id count as one document in stages 2 and 3; empty tables give empty results; further columns are carried.
+Null and empty texts pass every filter but quality, where they get the score of empty texts; rows of one doc_id count as
+one document when lines are compared, in stage 2, and are compared row by row in stage 3; empty tables give empty
+results; further columns are carried up to the last stage. Stages run jobs when they are called, to fit or count.
 """
 
 from __future__ import annotations
@@ -39,9 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_dup.near_duplicates(docs, k=5, percent=80)
-    lost = groups.filter("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    return near_dup.keep_one(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(docs)
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack_documents(docs)
 
 
 STAGES = [("quality", quality), ("line_dedup", drop_lines), ("near_dup", drop_near_duplicates), ("decontaminate", drop_contaminated), ("pack", pack)]
