@@ -40,6 +40,11 @@ def engine(requested: str, system: str, machine: str) -> str:
     return requested if requested != "auto" else "mlx" if (system, machine) == ("Darwin", "arm64") else "faster-whisper"
 
 
+def engine_of(requested: Column, system: Column, machine: Column) -> Column:
+    """engine() as a column."""
+    return F.when(requested != "auto", requested).when((system == "Darwin") & (machine == "arm64"), "mlx").otherwise("faster-whisper")
+
+
 def sample_slice(audio: Column, start_ms: Column, end_ms: Column, rate: int = 16_000) -> Column:
     """Samples of a region."""
     first = F.floor(start_ms * rate / 1000).cast("int")

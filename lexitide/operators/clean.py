@@ -31,3 +31,10 @@ def dedup_segments(segments: DataFrame) -> DataFrame:
 
 def drop_hallucinations(segments: DataFrame) -> DataFrame:
     return segments.filter(~is_hallucination(F.col("text")))
+
+
+def normalize_segments(segments: DataFrame) -> DataFrame:
+    """Times that are missing become 0, a missing text "", missing words none; the text is stripped."""
+    rows = segments.withColumn("start_ms", F.coalesce("start_ms", F.lit(0).cast("long"))).withColumn("end_ms", F.coalesce("end_ms", F.lit(0).cast("long")))
+    rows = rows.withColumn("text", strip(F.coalesce("text", F.lit(""))))
+    return rows.withColumn("words", F.coalesce("words", F.expr("cast(array() as array<struct<word:string,start_ms:bigint,end_ms:bigint>>)"))) if "words" in segments.columns else rows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,20 @@ def baseline_text(polished: Column, raw: Column) -> Column:
 def batch_of(cue_idx: Column, size: int = 5) -> Column:
     """Number of the translation batch of a cue, from 0."""
     return F.floor((cue_idx - 1) / size).cast("long")
+
+
+def replace_terms(cues: DataFrame, terms: DataFrame, *, max_terms: int = 10_000) -> DataFrame:
+    """cues (media_id, cue_idx, text, ...) with whole words between spaces that are a `term` of terms (term, wording)
+    written as its wording; of several wordings the least. Up to max_terms terms are part of the plan; more are joined."""
+    one = terms.filter("term is not null and wording is not null").groupBy("term").agg(F.min("wording").alias("wording"))
+    known = one.limit(max_terms + 1).collect()
+    if not known:
+        return cues
+    words = F.split("text", " ")
+    if len(known) <= max_terms:
+        wording = F.create_map(*chain.from_iterable((F.lit(r["term"]), F.lit(r["wording"])) for r in known))
+        return cues.withColumn("text", F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(wording, w), w)), " "))
+    rows = cues.select("media_id", "cue_idx", F.posexplode(words).alias("__pos", "term")).join(one, "term", "left")
+    rows = rows.groupBy("media_id", "cue_idx").agg(F.sort_array(F.collect_list(F.struct("__pos", F.coalesce("wording", "term").alias("w")))).alias("__w"))
+    rows = rows.select("media_id", "cue_idx", F.array_join(F.transform("__w", lambda x: x["w"]), " ").alias("__text"))
+    return cues.join(rows, ["media_id", "cue_idx"], "left").withColumn("text", F.col("__text")).drop("__text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexitide.functions import lexicon as lex
 from lexitide.functions import media
-from lexitide.plans.queries import CJK_SAMPLES, PROBES
+from lexitide.plans.queries import CJK_SAMPLES, HAN, PROBES, TERMS
 
 
 def _in(words) -> str:
@@ -82,21 +82,21 @@ ln AS (SELECT c.media_id, c.seg_idx, CAST(c.line AS BIGINT) AS line, min(w.start
        FROM chain c JOIN v w ON w.media_id = c.media_id AND w.seg_idx = c.seg_idx AND w.pos >= c.st AND w.pos < c.nxt GROUP BY ALL)"""
 
 
-def _merged(limit: int) -> str:
+def _merged(limit: int, x: str = "x", joined: str = "joined") -> str:
     """CTEs that join fragments of x (media_id, seg_idx, start_ms, end_ms, text) into `joined`."""
     t = _strip("text")
     return f"""
-x1 AS (SELECT *, {t} AS t, coalesce(regexp_matches(lag({t}) OVER o, '[A-Za-z]$') AND regexp_matches({t}, '^[A-Za-z]'), FALSE) AS meets FROM x WINDOW o AS (PARTITION BY media_id ORDER BY seg_idx)),
-x2 AS (SELECT *, sum(CASE WHEN meets THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY seg_idx) AS island FROM x1),
-x3 AS (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY seg_idx) AS k FROM x2),
-fold(media_id, island, k, first_idx, start_ms, end_ms, txt, t) AS (
-  SELECT media_id, island, k, seg_idx, start_ms, end_ms, text, t FROM x3 WHERE k = 1
+{x}1 AS (SELECT *, {t} AS t, coalesce(regexp_matches(lag({t}) OVER o, '[A-Za-z]$') AND regexp_matches({t}, '^[A-Za-z]'), FALSE) AS meets FROM {x} WINDOW o AS (PARTITION BY media_id ORDER BY seg_idx)),
+{x}2 AS (SELECT *, sum(CASE WHEN meets THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY seg_idx) AS island FROM {x}1),
+{x}3 AS (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY seg_idx) AS k FROM {x}2),
+{x}fold(media_id, island, k, first_idx, start_ms, end_ms, txt, t) AS (
+  SELECT media_id, island, k, seg_idx, start_ms, end_ms, text, t FROM {x}3 WHERE k = 1
   UNION ALL
-  SELECT x3.media_id, x3.island, x3.k, CASE WHEN fits THEN first_idx ELSE seg_idx END, CASE WHEN fits THEN r.start_ms ELSE x3.start_ms END, x3.end_ms,
-    CASE WHEN fits THEN r.t || x3.t ELSE x3.text END, CASE WHEN fits THEN r.t || x3.t ELSE x3.t END
-  FROM (SELECT * FROM fold) r JOIN x3 ON x3.media_id = r.media_id AND x3.island = r.island AND x3.k = r.k + 1,
-    LATERAL (SELECT length(replace(r.t || x3.t, ' ', '')) <= {limit} AS fits)),
-joined AS (SELECT media_id, first_idx AS seg_idx, start_ms, end_ms, txt AS text FROM fold QUALIFY row_number() OVER (PARTITION BY media_id, first_idx ORDER BY k DESC) = 1)"""
+  SELECT n.media_id, n.island, n.k, CASE WHEN fits THEN first_idx ELSE seg_idx END, CASE WHEN fits THEN r.start_ms ELSE n.start_ms END, n.end_ms,
+    CASE WHEN fits THEN r.t || n.t ELSE n.text END, CASE WHEN fits THEN r.t || n.t ELSE n.t END
+  FROM (SELECT * FROM {x}fold) r JOIN {x}3 n ON n.media_id = r.media_id AND n.island = r.island AND n.k = r.k + 1,
+    LATERAL (SELECT length(replace(r.t || n.t, ' ', '')) <= {limit} AS fits)),
+{joined} AS (SELECT media_id, first_idx AS seg_idx, start_ms, end_ms, txt AS text FROM {x}fold QUALIFY row_number() OVER (PARTITION BY media_id, first_idx ORDER BY k DESC) = 1)"""
 
 
 DEDUP = f"""
@@ -118,6 +118,58 @@ a2 AS (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY seg_idx) AS isl
 once AS (SELECT media_id, min(seg_idx) AS seg_idx, arg_min(start_ms, seg_idx) AS start_ms, arg_max(end_ms, seg_idx) AS end_ms, arg_min(text, seg_idx) AS text FROM a2 GROUP BY media_id, island)"""
 
 
+
+def _refined(pause: str = "500") -> str:
+    """CTEs from kept segments and their words v to `joined`."""
+    return f"""{FEATURES.format(pause=pause)}, {SUCCESSORS}, {LINES},
+x AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, line) - 1 AS seg_idx, start_ms, end_ms, text FROM ln), {_merged(lex.MAX_CHARS)}"""
+
+
+def _chars(low: str, high: str, test: str, pick: str, plus: str = "") -> str:
+    """The first (list_min) or last (list_max) position c from low up to high, exclusive, that passes the test."""
+    return f"{pick}(list_filter(range({low}, greatest({high}, {low})), lambda c: {test})){plus}"
+
+
+def _letter(c: str) -> str:
+    return f"regexp_full_match(substr(t, CAST({c} AS BIGINT) + 1, 1), '[A-Za-z]')"
+
+
+_MARK = f"c < n AND substr(t, CAST(c AS BIGINT) + 1, 1) IN {_in(lex.SPLIT_PUNCT)}"
+_BAD = "|".join(lex.BAD_LINE_START)
+
+#: Pieces of s1 (t: stripped text; n, chars, ms, pieces, target): where each begins, one by one.
+SPLIT = f"""
+s1 AS (SELECT *, length(t) AS n, length(replace(t, ' ', '')) AS chars, end_ms - start_ms AS ms FROM (SELECT *, {_strip("text")} AS t FROM seg) WHERE t <> ''),
+s2 AS (SELECT *, CASE WHEN chars <= {lex.MAX_CHARS} AND ms <= {lex.MAX_LINE_MS} THEN 1 ELSE greatest(CAST(ceil(chars / {lex.MAX_CHARS}) AS BIGINT), ms // {lex.MAX_LINE_MS} + 1, 1) END AS pieces FROM s1),
+s3 AS (SELECT *, chars // pieces AS target FROM s2),
+cuts(media_id, seg_idx, i, st, en) AS (
+  SELECT media_id, seg_idx, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM s3 WHERE pieces > 1
+  UNION ALL
+  SELECT media_id, seg_idx, i + 1, st, CASE WHEN i + 1 = pieces THEN n ELSE coalesce(
+      {_chars("greatest(st, e - 6) + 1", "e + 1", _MARK, "list_max", " + 1")},
+      {_chars("greatest(st, e - 15) + 1", "e + 1", "substr(t, CAST(c AS BIGINT), 1) = ' '", "list_max")},
+      {_chars("e", "least(n, e + 10)", "substr(t, CAST(c AS BIGINT) + 1, 1) = ' '", "list_min", " + 1")},
+      CASE WHEN e > st AND e < n AND {_letter("e - 1")} AND {_letter("e")} THEN {_chars("e", "least(n, e + 10)", "NOT " + _letter("c"), "list_min")} END,
+      CASE WHEN regexp_matches({_strip("substr(t, st + 1, e - st)")}, '^({_BAD})([^A-Za-z]|$)') THEN {_chars("e", "least(e + 6, n)", _MARK, "list_min", " + 1")} END,
+      e) END
+  FROM (SELECT s3.media_id, s3.seg_idx, c.i, c.en AS st, s3.t, s3.n, s3.pieces, least(c.en + s3.target, s3.n) AS e
+        FROM (SELECT * FROM cuts) c JOIN s3 ON s3.media_id = c.media_id AND s3.seg_idx = c.seg_idx WHERE c.i < s3.pieces)),
+pc AS (SELECT c.media_id, c.seg_idx, i, {_strip("substr(t, st + 1, greatest(en - st, 0))")} AS piece, s3.start_ms, ms, chars FROM cuts c JOIN s3 USING (media_id, seg_idx) WHERE i > 0),
+pd AS (SELECT *, row_number() OVER o - 1 AS line, sum(length(replace(piece, ' ', ''))) OVER o AS upto, length(replace(piece, ' ', '')) AS own
+       FROM pc WHERE piece <> '' WINDOW o AS (PARTITION BY media_id, seg_idx ORDER BY i)),
+sp AS (SELECT media_id, seg_idx, start_ms + CAST(round(ms * (upto - own) / greatest(chars, 1)) AS BIGINT) AS start_ms, start_ms + CAST(round(ms * upto / greatest(chars, 1)) AS BIGINT) AS end_ms, piece AS text, CAST(line AS BIGINT) AS line FROM pd
+       UNION ALL SELECT media_id, seg_idx, start_ms, end_ms, text, 0 FROM s3 WHERE pieces = 1)"""
+
+TRIPLES = """
+tri AS (SELECT media_id, seg_idx * 100000 + pos // 3 AS seg_idx, pos % 3 AS pos, word, start_ms, end_ms FROM w),
+seg3 AS (SELECT media_id, seg_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms, trim(string_agg(word, '' ORDER BY pos)) AS text FROM tri GROUP BY ALL),
+s0 AS (SELECT * FROM seg3)"""
+
+#: What the stub recogniser makes of a text.
+STUB = r"""
+ck AS (SELECT media_id, seg_idx, start_ms, end_ms, text, string_split(text, ' ') AS ws FROM seg),
+ok AS (SELECT * FROM ck WHERE length(text) % 7 <> 0 AND len(ws) > 5)"""
+
 CUES = f"WITH {TURNS}, cues AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) AS cue_idx, seg_idx, start_ms, end_ms, text FROM seg"
 SRT = f"""WITH {{source}}, q AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) AS i, start_ms, end_ms, text FROM seg WHERE text <> '')"""
 RENDERED = f"string_agg(i || chr(10) || {_stamp('start_ms')} || ' --> ' || {_stamp('end_ms')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY i)"
@@ -145,7 +197,8 @@ x AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx
     "merge_fragments": f"""WITH RECURSIVE {DOCS}, x AS (SELECT media_id, seg_idx * 100000 + pos // 3 AS seg_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(word, '' ORDER BY pos) AS text FROM w GROUP BY ALL),
 {_merged(50)} SELECT * FROM joined""",
     "repeat_loop_filter": f"WITH {DOCS}, looped AS (SELECT media_id, seg_idx, start_ms, end_ms, {LOOP} AS text FROM seg), {CLEANUP.replace('WHERE ' + _strip('text') + ' <> ' + chr(39) * 2, '', 1)} SELECT * FROM c2",
-    "merge_adjacent_duplicates": f"WITH {DOCS}, s2 AS (SELECT media_id, seg_idx, start_ms, end_ms, CASE WHEN seg_idx % 2 = 0 THEN lower(left(text, 2)) ELSE left(text, 2) END AS text FROM seg), {_adjacent('s2')} SELECT * FROM once",
+    "merge_adjacent_duplicates": f"""WITH {DOCS}, s2 AS (SELECT media_id, seg_idx, start_ms, end_ms,
+  CASE WHEN seg_idx % 3 = 1 THEN upper(replace(coalesce(lag(text) OVER (PARTITION BY media_id ORDER BY seg_idx), text), 'ß', 'SS')) ELSE text END AS text FROM seg), {_adjacent('s2')} SELECT * FROM once""",
     "merge_speech_regions": """WITH e AS (SELECT CAST(user_id AS BIGINT) AS media_id, CAST(event_id AS BIGINT) AS idx, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS start_ms, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 + CAST(floor(abs(value) * 1000) AS BIGINT) AS end_ms
   FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
 g AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, idx) < 60000 THEN 0 ELSE 1 END AS opens FROM e),
@@ -169,8 +222,8 @@ FROM cues, (VALUES ('translation'), ('translation_above'), ('translation_below')
     "cue_mismatches": f"""{CUES}), o AS (SELECT media_id, cue_idx, start_ms AS s2, end_ms + CASE WHEN cue_idx % 5 = 0 THEN 1 ELSE 0 END AS e2 FROM cues WHERE cue_idx % 4 <> 3)
 SELECT media_id, cue_idx, start_ms AS s1, end_ms AS e1, s2, e2 FROM cues LEFT JOIN o USING (media_id, cue_idx) WHERE s2 IS NULL OR s2 <> start_ms OR e2 <> end_ms""",
     "translation_plan": f"""{CUES})
-SELECT media_id, cue_idx, NOT regexp_matches(text, '{CJK}') AS translate, CAST((cue_idx - 1) // 5 AS BIGINT) AS batch, CASE WHEN cue_idx % 2 = 0 THEN 'polished' ELSE left(text, 20) END AS baseline,
-  left(text, 18) || CASE WHEN length(text) > 18 THEN chr(10) || substr(text, 19, 18) ELSE '' END || CASE WHEN length(text) > 36 THEN chr(10) || substr(text, 37, 18) ELSE '' END || CASE WHEN length(text) > 54 THEN chr(10) || substr(text, 55, 6) ELSE '' END AS wrapped
+SELECT media_id, cue_idx, NOT regexp_matches(text, '{CJK}') AS translate, CAST((cue_idx - 1) // 5 AS BIGINT) AS batch, CASE WHEN cue_idx % 2 = 0 THEN 'polished' ELSE text END AS baseline,
+  array_to_string(list_transform(range(greatest(CAST(ceil(length(text) / 18) AS BIGINT), 1)), lambda i: substr(text, CAST(i * 18 + 1 AS BIGINT), 18)), chr(10)) AS wrapped
 FROM cues""",
     "cjk_latin_spacing": rf"""WITH {TURNS}, t AS (SELECT unnest({list(CJK_SAMPLES)}) AS text UNION ALL SELECT '中' || text FROM seg)
 SELECT text, regexp_replace(regexp_replace(text, '({CJK})([A-Za-z0-9])', '\1 \2', 'g'), '([A-Za-z0-9])({CJK})', '\1 \2', 'g') AS spaced, regexp_replace(text, '[{lex.STRONG_PUNCT}{lex.WEAK_PUNCT}]', '', 'g') AS bare FROM t""",
@@ -184,4 +237,44 @@ SELECT media_id, CASE WHEN media_id % 3 = 0 THEN TRUE WHEN media_id % 2 = 0 THEN
     "ffprobe_duration": f"""WITH p AS (SELECT unnest(range({len(PROBES)})) AS id, unnest({list(PROBES)}) AS body UNION ALL SELECT CAST(o_orderkey AS BIGINT) + 100, '{{"streams":[{{"duration":"' || CAST(o_orderkey AS VARCHAR) || '.25"}}]}}' FROM orders),
 d AS (SELECT id, CASE WHEN json_valid(body) THEN CAST(json_extract_string(body, '$.streams[*].duration') AS VARCHAR[]) END AS ds FROM p)
 SELECT id, coalesce(try_cast(list_filter(ds, lambda x: x IS NOT NULL AND x <> '')[1] AS DOUBLE), 0.0) AS seconds FROM d""",
+    "fallback_split": f"WITH RECURSIVE {DOCS}, {SPLIT} SELECT * FROM sp",
+    "refine_mixed": f"""WITH RECURSIVE {DOCS}, {TRIPLES}, {DEDUP},
+has AS (SELECT *, CASE media_id % 3 WHEN 0 THEN FALSE WHEN 1 THEN seg_idx % 4 = 0 ELSE TRUE END AS h FROM kept),
+med AS (SELECT *, NOT bool_or(h) OVER m AND count(*) OVER m > 1 AS loose FROM has WINDOW m AS (PARTITION BY media_id)),
+y AS (SELECT {PLAIN} FROM med WHERE loose), {_merged(2 * lex.MAX_CHARS, "y", "early")},
+v AS (SELECT tri.* FROM tri JOIN med USING (media_id, seg_idx) WHERE med.h AND tri.end_ms > tri.start_ms), {FEATURES.format(pause=500)}, {SUCCESSORS}, {LINES},
+every AS (SELECT media_id, seg_idx, line, start_ms, end_ms, text FROM ln UNION ALL SELECT media_id, seg_idx, 0, start_ms, end_ms, text FROM med WHERE NOT loose AND NOT h UNION ALL SELECT media_id, seg_idx, 0, start_ms, end_ms, text FROM early),
+x AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, line) - 1 AS seg_idx, start_ms, end_ms, text FROM every), {_merged(lex.MAX_CHARS)} SELECT * FROM joined""",
+    "refine_han": f"""WITH RECURSIVE {TURNS}, s0 AS (SELECT {PLAIN} FROM seg), {DEDUP},
+v AS (SELECT w.media_id, w.seg_idx, w.pos, ({list(HAN)})[CAST((length(w.word) * 7 + w.pos) % {len(HAN)} AS BIGINT) + 1] AS word, w.start_ms, w.end_ms FROM w JOIN kept USING (media_id, seg_idx) WHERE w.end_ms > w.start_ms),
+{_refined("(CASE WHEN bool_or(regexp_matches(word, '" + CJK + "')) OVER (PARTITION BY media_id, seg_idx) THEN 300 ELSE 500 END)")} SELECT * FROM joined""",
+    "stt_words_refine": f"""WITH RECURSIVE {TURNS}, ord AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, seg_idx DESC) - 1 AS nr FROM seg),
+s0 AS (SELECT media_id, nr AS seg_idx, start_ms, end_ms, text FROM ord), {DEDUP},
+v AS (SELECT w.media_id, ord.nr AS seg_idx, w.pos, w.word, w.start_ms, w.end_ms FROM w JOIN ord ON ord.media_id = w.media_id AND ord.seg_idx = w.seg_idx JOIN kept ON kept.media_id = w.media_id AND kept.seg_idx = ord.nr WHERE w.end_ms > w.start_ms),
+{_refined()} SELECT * FROM joined""",
+    "whole_audio_fallback": """WITH e AS (SELECT CAST(user_id AS BIGINT) AS media_id, CAST(event_id AS BIGINT) AS idx, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS start_ms, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 + CAST(floor(abs(value) * 1000) AS BIGINT) AS end_ms
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+g AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, idx) < 1000 THEN 0 ELSE 1 END AS opens FROM e),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY start_ms, idx) AS region FROM g),
+l AS (SELECT *, row_number() OVER (PARTITION BY media_id, region ORDER BY start_ms DESC, idx DESC) AS back FROM i),
+m AS (SELECT media_id, CAST(region AS BIGINT) AS region, min(start_ms) AS start_ms, max(end_ms) FILTER (back = 1) AS end_ms FROM l GROUP BY ALL),
+r AS (SELECT * FROM m WHERE end_ms - start_ms >= 250000)
+SELECT * FROM r UNION ALL SELECT media_id, 1, 0, max(end_ms) FROM e WHERE media_id NOT IN (SELECT media_id FROM r) GROUP BY media_id""",
+    "output_names": r"""SELECT CAST(c_custkey AS BIGINT) AS id,
+  regexp_replace('/in/v1.2/' || c_name || CASE c_custkey % 3 WHEN 0 THEN '.tar.mp3' WHEN 1 THEN '.wav' ELSE '' END, '\.[^./]*$', '') || CASE WHEN c_custkey % 2 = 0 THEN '_zh' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN '_Enhance' ELSE '' END || '.srt' AS output FROM customer""",
+    "sample_slices": """WITH m AS (SELECT CAST(o_orderkey AS BIGINT) AS media_id FROM orders),
+a AS (SELECT media_id, list_transform(range(media_id % 90 + 1), lambda i: (i % 7 + i % 5) / 2.0) AS audio FROM m),
+p AS (SELECT media_id, audio, list_filter(list_transform(range(len(audio)), lambda i: CASE WHEN i >= media_id % 13 * 100 * 16 // 1000 AND i < media_id % 29 * 150 * 16 // 1000 THEN audio[i + 1] END), lambda x: x IS NOT NULL) AS part FROM a)
+SELECT media_id, len(audio) AS samples, len(part) AS kept, CAST(coalesce(list_sum(part), 0) AS DOUBLE) AS total, len(part) >= 4 AS long_enough FROM p""",
+    "engine_selection": """SELECT CAST(o_orderkey AS BIGINT) AS media_id, CASE WHEN o_orderkey % 3 = 1 THEN 'mlx' WHEN o_orderkey % 3 = 2 THEN 'groq' WHEN o_orderkey // 3 % 2 = 0 AND o_orderkey // 6 % 2 = 0 THEN 'mlx' ELSE 'faster-whisper' END AS engine FROM orders""",
+    "chunk_errors": f"""WITH {TURNS}, {STUB}
+SELECT media_id, seg_idx AS region, CAST(CASE WHEN length(text) % 7 <> 0 AND len(ws) > 5 THEN ceil(len(ws) / 5) ELSE 0 END AS BIGINT) AS segments, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: length ' || length(text) ELSE '' END AS error FROM ck""",
+    "chunk_results": f"""WITH {TURNS}, {STUB},
+p AS (SELECT media_id, seg_idx, start_ms, ws, unnest(range(CAST(ceil(len(ws) / 5) AS BIGINT))) AS i FROM ok)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms + 1000 * i, seg_idx, i) - 1 AS seg_idx, start_ms + 1000 * i AS start_ms, start_ms + 1000 * i + 900 AS end_ms, {_strip("array_to_string(ws[5 * i + 1 : 5 * i + 5], ' ')")} AS text FROM p""",
+    "media_without_result": f"WITH {TURNS}, {STUB} SELECT media_id * 1000 + seg_idx AS media_id FROM ck WHERE length(text) % 7 = 0 OR len(ws) <= 5",
+    "terminology": f"""{CUES}), terms AS (SELECT term, min(wording) AS wording FROM (SELECT string_split(p_name, ' ')[1] AS term, lower(string_split(p_type, ' ')[-1]) AS wording FROM part UNION ALL VALUES {", ".join(map(str, TERMS))}) WHERE term IS NOT NULL AND wording IS NOT NULL GROUP BY term),
+w8 AS (SELECT media_id, cue_idx, unnest(string_split(text, ' ')) AS term, unnest(range(len(string_split(text, ' ')))) AS pos FROM cues)
+SELECT media_id, cue_idx, string_agg(coalesce(wording, w8.term), ' ' ORDER BY pos) AS text FROM w8 LEFT JOIN terms USING (term) GROUP BY media_id, cue_idx""",
+    "normalize_segments": f"""WITH {DOCS} SELECT media_id, seg_idx, CASE WHEN seg_idx % 3 <> 1 THEN start_ms ELSE 0 END AS start_ms, CASE WHEN seg_idx % 5 <> 2 THEN end_ms ELSE 0 END AS end_ms, CASE WHEN seg_idx % 4 <> 3 THEN text ELSE '' END AS text FROM seg""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import lexicon as lex
 from lexitide.functions import media, text
-from lexitide.operators import clean, fallback, islands, layout, merge, pipeline, segment
+from lexitide.operators import clean, fallback, islands, layout, merge, pipeline, recognise, segment
 from lexitide.sources import srt, stt, timeline
 
 
@@ -121,9 +121,9 @@ def repeat_loop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third line replaced by the one before it, in lower case, so that neighbours repeat."""
+    """Every third line replaced by the one before it, in upper case, so that neighbours repeat."""
     before = F.lag("text").over(Window.partitionBy("media_id").orderBy("seg_idx"))
-    copied = F.when(F.col("seg_idx") % 3 == 1, F.lower(F.coalesce(before, "text"))).otherwise(F.col("text"))
+    copied = F.when(F.col("seg_idx") % 3 == 1, F.upper(F.coalesce(before, "text"))).otherwise(F.col("text"))
     return islands.merge_adjacent_duplicates(plain(document_segments(spark, sf_dir)).withColumn("text", copied))
 
 
@@ -251,6 +251,118 @@ def ffprobe_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", stt.probe_duration(F.col("body")).alias("seconds"))
 
 
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of three words each of the documents' lines, with their words."""
+    rows = document_segments(spark, sf_dir).select("media_id", "seg_idx", F.posexplode("words").alias("pos", "w"))
+    rows = rows.select("media_id", (F.col("seg_idx") * 100_000 + F.floor(F.col("pos") / 3)).alias("seg_idx"), "pos", "w")
+    rows = rows.groupBy("media_id", "seg_idx").agg(F.min("w.start_ms").alias("start_ms"), F.max("w.end_ms").alias("end_ms"), F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("ws"))
+    words = F.transform("ws", lambda x: x["w"])
+    return rows.select("media_id", "seg_idx", "start_ms", "end_ms", text.strip(F.array_join(F.transform(words, lambda w: w["word"]), "")).alias("text"), words.alias("words"))
+
+
+def refine_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media of three kinds by their id: without any words, with words in every fourth segment only, with words in all."""
+    timed = F.when(F.col("media_id") % 3 == 0, False).when(F.col("media_id") % 3 == 1, F.col("seg_idx") % 4 == 0).otherwise(True)
+    return pipeline.refine(_triples(spark, sf_dir).withColumn("words", F.when(timed, F.col("words"))))
+
+
+HAN = ("大家", "好", "今天", "我们", "来", "学习", "一下，", "这个", "新的", "功能。", "首先", "但是", "看", "界面", "然后", "为了", "步骤、", "去", "操作", "因为", "ok", "所以", "比如说")
+
+
+def refine_han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose words are replaced by Han ones, chosen by length and position, with the words' times."""
+    table_ = F.array(*map(F.lit, HAN))
+    words = F.transform("words", lambda w, i: F.struct(F.get(table_, (F.length(w["word"]) * 7 + i) % len(HAN)).alias("word"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms")))
+    return pipeline.refine(turns(spark, sf_dir).withColumn("words", words))
+
+
+def stt_words_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as service responses with words, scanned and refined."""
+    word = lambda w: F.struct(w["word"].alias("word"), (w["start_ms"] / 1000.0).alias("start"), (w["end_ms"] / 1000.0).alias("end"))
+    seg = F.struct((F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text", F.transform("words", word).alias("words"))
+    rows = turns(spark, sf_dir).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("seg_idx", seg.alias("s"))), asc=False).alias("x"))
+    body = F.to_json(F.struct(F.transform("x", lambda x: x["s"]).alias("segments")))
+    return pipeline.refine(stt.response_segments(rows.select("media_id", body.alias("body"))))
+
+
+def whole_audio_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as regions; a user whose regions are all short is taken whole."""
+    events = _event_regions(spark, sf_dir)
+    media_ = events.groupBy("media_id").agg(F.max("end_ms").alias("duration_ms"))
+    return islands.regions_or_whole(media_, islands.merge_regions(events, gap_ms=1000, min_ms=250_000))
+
+
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/in/v1.2/"), F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, ".tar.mp3").when(F.col("c_custkey") % 3 == 1, ".wav").otherwise(""))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", path.alias("path"), F.when(F.col("c_custkey") % 2 == 0, "zh").alias("language"), (F.col("c_custkey") % 5 == 0).alias("polished"))
+    return rows.select(F.col("c_custkey").cast("long").alias("id"), srt.output_path(F.col("path"), F.col("language"), F.col("polished")).alias("output"))
+
+
+def sample_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as media of two channels at 16 samples a second: mono, a region of it, and whether that is long enough."""
+    n = (F.col("media_id") % 90).cast("int")
+    left = F.transform(F.sequence(F.lit(0), n), lambda i: (i % 7).cast("double"))
+    right = F.transform(F.sequence(F.lit(0), n), lambda i: (i % 5).cast("double"))
+    frames = F.zip_with(left, right, lambda x, y: F.array(x, y))
+    rows = text.pinned(_media(spark, sf_dir).withColumn("audio", media.mono(frames)), "audio")
+    part = media.sample_slice(F.col("audio"), (F.col("media_id") % 13) * 100, (F.col("media_id") % 29) * 150, rate=16)
+    rows = text.pinned(rows.withColumn("part", part), "part")
+    return rows.select("media_id", F.size("audio").cast("long").alias("samples"), F.size("part").cast("long").alias("kept"), F.aggregate("part", F.lit(0.0), lambda a, x: a + x).alias("total"), media.long_enough(F.col("part"), rate=16).alias("long_enough"))
+
+
+def engine_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names, by: F.get(F.array(*map(F.lit, names)), (F.col("o_orderkey") / by).cast("int") % len(names))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("media_id"), pick(("auto", "mlx", "groq"), 1).alias("requested"), pick(("Darwin", "Linux"), 3).alias("system"), pick(("arm64", "x86_64"), 6).alias("machine"))
+    return rows.select("media_id", media.engine_of(F.col("requested"), F.col("system"), F.col("machine")).alias("engine"))
+
+
+def _stub(content: str) -> recognise.Segments:
+    """A recogniser for texts: one segment for each line of 5 words; it fails on some lengths and finds nothing in short ones."""
+    if len(content) % 7 == 0:
+        raise ValueError(f"length {len(content)}")
+    words = content.split(" ")
+    parts = [words[i : i + 5] for i in range(0, len(words), 5)] if len(words) > 5 else []
+    return [(1000 * i, 1000 * i + 900, " ".join(p), [(w, 1000 * i + 100 * j, 1000 * i + 100 * j + 90) for j, w in enumerate(p)]) for i, p in enumerate(parts)]
+
+
+def chunk_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chunks of conversations: what each gave, and what it raised."""
+    chunks = turns(spark, sf_dir).select("media_id", F.col("seg_idx").alias("region"), F.col("text").alias("content"))
+    out = recognise.recognise_chunks(chunks, _stub)
+    return out.select("media_id", "region", F.coalesce(F.size("segments"), F.lit(0)).cast("long").alias("segments"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def chunk_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the chunks that gave some, on the conversation's clock."""
+    chunks = turns(spark, sf_dir).select("media_id", F.col("seg_idx").alias("region"), "start_ms", "end_ms", F.col("text").alias("content"))
+    return plain(recognise.chunk_segments(recognise.recognise_chunks(chunks, _stub), chunks.select("media_id", "region", "start_ms", "end_ms")))
+
+
+def media_without_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as media of one chunk each: those of which nothing was recognised."""
+    chunks = turns(spark, sf_dir).select((F.col("media_id") * 1000 + F.col("seg_idx")).alias("media_id"), F.lit(1).alias("region"), F.col("text").alias("content"))
+    return recognise.media_without_result(chunks.select("media_id"), recognise.recognise_chunks(chunks, _stub))
+
+
+def terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of turns that are the first word of a part's name, written as its type's last word."""
+    cues = pipeline.renumber(plain(turns(spark, sf_dir))).select("media_id", "cue_idx", "text")
+    first = F.element_at(F.split("p_name", " "), 1)
+    terms = table(spark, sf_dir, "part").select(first.alias("term"), F.lower(F.element_at(F.split("p_type", " "), -1)).alias("wording"))
+    common = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("term"), F.lit(b).alias("wording")) for a, b in TERMS))))
+    return layout.replace_terms(cues, terms.unionByName(common))
+
+
+TERMS = (("the", "THE"), ("of", "von"), ("le", "the"), ("la", "the"), ("und", "et"), ("und", "&"), ("que", "which one"))
+
+
+def normalize_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with some times and texts removed."""
+    rows = document_segments(spark, sf_dir)
+    rows = rows.select("media_id", "seg_idx", F.when(F.col("seg_idx") % 3 != 1, F.col("start_ms")).alias("start_ms"), F.when(F.col("seg_idx") % 5 != 2, F.col("end_ms")).alias("end_ms"), F.when(F.col("seg_idx") % 4 != 3, F.concat(F.lit(" \t"), "text", F.lit(" "))).alias("text"))
+    return clean.normalize_segments(rows)
+
+
 def _name(f: Callable) -> str:
     return f.__name__
 
@@ -261,5 +373,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         timeline_words, drop_empty_and_zero, clean_words, clean_segments_dedup, detect_language_pause, visible_chars, natural_breaks, gap_scores, next_cut, segment_lines,
         refine_pipeline, merge_fragments, repeat_loop_filter, merge_adjacent_duplicates, merge_speech_regions, shift_to_absolute, cleanup_pipeline, format_timestamps, srt_render,
         srt_parse, cue_counts, cue_preview, change_report, fallback_split, bilingual_layout, cue_mismatches, translation_plan, cjk_latin_spacing, upload_plan, vad_plan, stt_json_scan, ffprobe_duration,
+        refine_mixed, refine_han, stt_words_refine, whole_audio_fallback, output_names, sample_slices, engine_selection, chunk_errors, chunk_results, media_without_result, terminology, normalize_segments,
     )
 }

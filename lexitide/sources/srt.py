@@ -66,6 +66,12 @@ def default_output(path: str, language: str | None = None, polished: bool = Fals
     return stem + (f"_{language}" if language else "") + ("_Enhance" if polished else "") + ".srt"
 
 
+def output_path(path: Column, language: Column, polished: Column) -> Column:
+    """default_output() as a column; a null language adds nothing."""
+    stem = F.regexp_replace(path, r"\.[^./]*$", "")
+    return F.concat(stem, F.coalesce(F.concat(F.lit("_"), language), F.lit("")), F.when(polished, "_Enhance").otherwise(""), F.lit(".srt"))
+
+
 def cue_count(files: DataFrame) -> DataFrame:
     """(media_id, cues): lines of digits only in rows (media_id, content)."""
     return files.select("media_id", F.size(F.filter(F.split("content", "\n"), lambda x: x.rlike(r"^[0-9]+$"))).cast("long").alias("cues"))

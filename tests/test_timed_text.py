@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexitide.functions import lexicon, media, text
-from lexitide.operators import clean, fallback, islands, layout, merge, pipeline, segment
-from lexitide.sources import srt, stt
+from lexitide.functions import fold, lexicon, media, text
+from lexitide.operators import clean, fallback, islands, layout, merge, pipeline, recognise, segment
+from lexitide.sources import audio, srt, stt
 
 SEG = "media_id long, seg_idx long, start_ms long, end_ms long, text string"
 WORDS = "words array<struct<word:string,start_ms:bigint,end_ms:bigint>>"
@@ -214,3 +214,90 @@ def test_merge_adjacent_duplicates_compares_whole_lines(spark, monkeypatch):
     monkeypatch.setattr(queries, "document_segments", lambda *_: segs(spark, data))
     got = rows(queries.merge_adjacent_duplicates(spark, ""), "seg_idx", "text")
     assert got == [(i, x[2]) for i, x in enumerate(data) if i % 3 != 1]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
+def test_fold_over_chunks(spark, n):
+    step = lambda a, x: F.struct((a["s"] + x).alias("s"), F.when(x % 3 > 0, F.array_append(a["out"], a["s"] + x)).otherwise(a["out"]).alias("out"))
+    df = spark.createDataFrame([(list(range(1, n + 1)),)], "v array<int>")
+    got = df.select(fold.fold(F.col("v"), F.lit(0), "int", "int", step, chunk=4).alias("f")).select(fold.emitted(F.col("f")).alias("out"), fold.last_state(F.col("f")).alias("s")).first()
+    assert got.s == n * (n + 1) // 2 and got.out == [i * (i + 1) // 2 for i in range(1, n + 1) if i % 3]
+
+
+def test_long_segments_keep_all_words(spark):
+    """One segment of many chunks: lines partition its words, and cues of many lines survive a round trip."""
+    from lexitide.sources.timeline import from_documents
+
+    body = " ".join(f"word{i % 11}{'.' if i % 17 == 0 else ''}" for i in range(5000))
+    docs = from_documents(spark.createDataFrame([(1, body)], "doc_id long, text string"))
+    got = segment.with_lines(docs, F.lit(500)).first()
+    assert [w for line in got.lines for w in line.words] == got.words and len(got.words) == 5000
+    times = [(w.start_ms, w.end_ms) for w in got.words]
+    assert all(a[1] <= b[0] for a, b in zip(times, times[1:], strict=False)) and times[-1][1] == got.end_ms
+    block = "1\n00:00:01,000 --> 00:00:02,000\n" + "line\n" * 1000 + "\n" + "2\n00:00:03,000 --> 00:00:04,000\nx"
+    back = srt.parse_srt(spark.createDataFrame([(1, block)], "media_id long, content string")).orderBy("seg_idx").collect()
+    assert [(r.start_ms, len(r.text)) for r in back] == [(1000, 4999), (3000, 1)]
+
+
+def test_zero_width_words_do_not_end_a_line(spark):
+    words = [("\u200b", 10 * i, 10 * i + 10) for i in range(200)] + [("a b", 2000, 2100), ("c.", 2100, 2200), ("next", 2200, 2300)]
+    got = lines_of(spark, words, merge=False)
+    assert [t.replace("\u200b", "") for _, _, t in got] == ["a bc.next"]
+
+
+def test_chunks_that_fail_are_rows(spark):
+    def recogniser(content):
+        if content == "bad":
+            raise RuntimeError("no model")
+        return [(0, 900, f" {content} ", [(content, 0, 900)])] if content else []
+
+    chunks = spark.createDataFrame([(1, 1, "a", 0, 1000), (1, 2, "bad", 1000, 2000), (1, 3, "b", 2000, 3000), (2, 1, "bad", 0, 10), (3, 1, "", 0, 10)], "media_id long, region long, content string, start_ms long, end_ms long")
+    out = recognise.recognise_chunks(chunks, recogniser)
+    assert [(r.media_id, r.region, r.error) for r in out.orderBy("media_id", "region").collect() if r.error] == [(1, 2, "RuntimeError: no model"), (2, 1, "RuntimeError: no model")]
+    own = recognise.chunk_segments(out, chunks.select("media_id", "region", "start_ms", "end_ms"))
+    assert rows(own, "seg_idx", "start_ms", "end_ms", "text") == [(0, 0, 900, "a"), (1, 2000, 2900, "b")] and own.filter("seg_idx = 1").first().words[0].start_ms == 2000
+    assert rows(recognise.media_without_result(chunks.select("media_id").distinct(), out), "media_id") == [(2,), (3,)]
+    media_ = spark.createDataFrame([(1, 500, "x"), (2, 700, "")], "media_id long, duration_ms long, content string")
+    found = recognise.detect_regions(media_, lambda c: [(0, 100), (200, 300)] if c else 1 / 0)
+    assert rows(found, "media_id", "region", "start_ms", "end_ms") == [(1, 1, 0, 100), (1, 2, 200, 300), (2, 1, 0, 700)]
+
+
+def test_a_failing_stage_raises(spark):
+    df = segs(spark, [(0, 10, "a")], [[]])
+    with pytest.raises(Exception, match="broken|ARITHMETIC|USER_RAISED"):
+        pipeline.cleanup(pipeline.refine(df.withColumn("text", F.raise_error(F.lit("broken"))))).collect()
+
+
+def test_wav_files(spark, tmp_path):
+    import struct
+    import wave
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as f:
+        f.setnchannels(2)
+        f.setsampwidth(2)
+        f.setframerate(8000)
+        f.writeframes(struct.pack("<8h", 0, 16384, -32768, -32768, 100, 300, 32767, 1))
+    (tmp_path / "b.wav").write_bytes(b"RIFF no")
+    got = {r.media_id.rsplit("/", 1)[1]: r for r in audio.read_wav(spark, str(tmp_path)).collect()}
+    assert got["a.wav"].rate == 8000 and [round(x, 6) for x in got["a.wav"].audio] == [0.25, -1.0, round(200 / 32768, 6), 0.5]
+    assert got["b.wav"].audio is None and got["b.wav"].error
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_terms_by_plan_and_by_join(spark, most):
+    cues = spark.createDataFrame([(1, 1, "use maya  and  Py"), (1, 2, ""), (1, 3, None)], "media_id long, cue_idx long, text string")
+    terms = spark.createDataFrame([("maya", "Maya"), ("Py", "Python"), ("maya", "Zaya"), (None, "x")], "term string, wording string")
+    assert sorted((r.cue_idx, r.text) for r in layout.replace_terms(cues, terms, max_terms=most).collect()) == [(1, "use Maya  and  Python"), (2, ""), (3, None)]
+    assert layout.replace_terms(cues, terms.limit(0)).count() == 3
+
+
+def test_output_paths_as_function_and_column(spark):
+    cases = [("/a/b.mp3", "zh", True), ("/a.b/c", None, False), ("x.tar.gz", "en", False), ("/a/.hidden", None, True)]
+    df = spark.createDataFrame(cases, "p string, l string, e boolean").select("p", srt.output_path(F.col("p"), F.col("l"), F.col("e")).alias("o"))
+    assert [r.o for r in df.collect()] == [srt.default_output(*c) for c in cases]
+
+
+def test_white_space_is_stripped_but_zero_width_space_kept(spark):
+    cases = {"\u3000\t a b \x1f\xa0": "a b", "\u200bx\u200b ": "\u200bx\u200b", "\x85": "", "": ""}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.strip(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == cases == {k: k.strip() for k in cases}
