@@ -52,8 +52,8 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select(
         "doc_id",
         F.when(F.length("trimmed") == 0, F.expr("cast(array() as array<string>)")).otherwise(F.split("trimmed", WORD_BREAK)).alias("words"),
-        F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("t") - F.regexp_count("t", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0).alias("lines"),
     )
     words = F.col("words")
@@ -65,8 +65,12 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.size("lines").cast("long").alias("n_text_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(words, lambda w: w.isin(*stop_words))).cast("long").alias("n_stop_words"),
-        F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2))).alias("windows"),
+        F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"),
     )
+    # Windows as 64-bit hashes of their words' hashes, which sort and compare faster than text.
+    hashes = F.col("hashes")
+    window = lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2))
+    rows = rows.withColumn("windows", F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), window)).drop("hashes")
     # Windows of a document that repeats some, sorted: equal ones are neighbours.
     ordered = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
     rows = rows.withColumn("ordered", ordered).drop("windows")
