@@ -62,12 +62,14 @@ HOT_BITS, HOT_SHARE, HOT_ROWS = 16, 12, 256
 
 
 def hot_buckets(hashes: DataFrame) -> DataFrame:
-    """(__bucket, __salts) of the hot buckets of a column of 64-bit hashes: at most 2**HOT_SHARE rows, whatever the data.
+    """(__bucket, __salts) of the hot buckets of a column of 64-bit hashes: at most 2**HOT_SHARE rows, whatever the data, and one more.
 
     __salts deals a bucket's rows into parts of at most that share, or HOT_ROWS. Counts are summed where rows lie."""
     counts = hashes.toDF("h").groupBy(_bucket(F.col("h")).alias("__bucket")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.select("__bucket", F.ceil(F.col("n") / F.greatest(total / 2**HOT_SHARE, F.lit(HOT_ROWS))).cast("int").alias("__salts")).filter("__salts > 1")
+    hot = counts.select("__bucket", F.ceil(F.col("n") / F.greatest(total / 2**HOT_SHARE, F.lit(HOT_ROWS))).cast("int").alias("__salts")).filter("__salts > 1")
+    # A bucket that no hash has: so the table is never empty, and plans are alike whether keys are hot or not.
+    return hot.unionByName(hashes.sparkSession.range(1).select(F.lit(-1).alias("__bucket"), F.lit(1).alias("__salts")))
 
 
 def _bucket(h: Column) -> Column:

@@ -378,7 +378,7 @@ def test_op7_rules_by_join(spark, as_table):
 def test_joins_that_deal_hot_keys(spark):
     left = spark.createDataFrame([(7 if i % 2 else i, i) for i in range(4000)], "k long, v long")
     right = spark.createDataFrame([(i, i * 10) for i in range(0, 3000, 3)] + [(7, 70), (7, 71)], "k long, w long")
-    assert hot_buckets(left.select(F.xxhash64("k"))).count() == 1
+    assert hot_buckets(left.select(F.xxhash64("k"))).filter("__bucket >= 0").count() == 1
     for how in ("inner", "left"):
         got, want = spread_join(left, right, ["k"], ["v"], how=how), left.join(right, "k", how)
         assert sorted(map(tuple, got.select("k", "v", "w").collect()), key=str) == sorted(map(tuple, want.select("k", "v", "w").collect()), key=str)
