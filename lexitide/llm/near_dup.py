@@ -41,13 +41,23 @@ BITMAP_BITS = 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def super_minhash(hashes: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
+def super_minhash(hashes: np.ndarray, first: np.ndarray, m: int, most: int = 1 << 15) -> np.ndarray:
     """Signatures (texts x m): the minimum over elements of j + r_j at slot p_j, with p a random permutation and
-    r_j uniform, both from the element's hash. Rank j is drawn for all elements of a text at once, and a text
-    stops when every slot is below the next rank; empty texts keep inf."""
+    r_j uniform, both from the element's hash. Elements are taken `most` at a time, as permutations need m bytes or more
+    for each of them; a text's minimum is carried on, so its signature is the same however it is cut. Empty texts keep inf."""
     docs = len(first) - 1
     out = np.full((docs, m), np.inf)
     doc = np.repeat(np.arange(docs), np.diff(first))
+    for low in range(0, len(hashes), most):
+        own = doc[low : low + most]
+        _lower(out[own[0] : own[-1] + 1], hashes[low : low + most], own - own[0])
+    return out
+
+
+def _lower(out: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> None:
+    """Lowers signatures, in place, by elements and the text of each. Rank j is drawn for all elements of a text at once,
+    and a text stops when every slot is below the next rank."""
+    m = out.shape[1]
     state = None
     for j in range(m):
         x = mix(hashes + np.uint64(int(_STEP) * (2 * j + 1) % 2**64))
@@ -66,12 +76,11 @@ def super_minhash(hashes: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
             break
         if j == 0:
             kept = k[go_on]
-            state = np.tile(np.arange(m, dtype=np.uint16), (len(kept), 1))
+            state = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(kept), 1))
             state[np.arange(len(kept)), kept] = 0
         else:
             state = state[go_on]
         hashes, doc = hashes[go_on], doc[go_on]
-    return out
 
 
 def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:

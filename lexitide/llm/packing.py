@@ -48,9 +48,13 @@ def encoder(json_path: str, ranks_path: str | None) -> Callable[[str], np.ndarra
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
+    load = lru_cache(lambda: Tokenizer.from_file(json_path))  # only where a text needs it: it takes 40 MB
+
+    def encode_slow(text: str) -> np.ndarray:
+        return np.array(load().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     if ranks_path is None:
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return encode_slow
     import public_tokenizers
     import tiktoken
 
@@ -62,7 +66,7 @@ def encoder(json_path: str, ranks_path: str | None) -> Callable[[str], np.ndarra
     def encode(text: str) -> np.ndarray:
         if len(text) < 1_000_000 and (text.isascii() or (max(text) <= LAST_FAST and "\x85" not in text)):
             return fast.encode_to_numpy(text, allowed_special="all")
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return encode_slow(text)
 
     return encode
 
