@@ -102,12 +102,12 @@ FILTER_BITS = 24
 def split_by_key(rows: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows that may have a key (a 64-bit hash) among the only column of `wanted`, and rows that surely have none.
 
-    The filter is a table of at most 2**(FILTER_BITS - 6) words of bits, broadcast, whatever the number of rows, so big
-    rows that need no join are not shuffled. Once very many keys are wanted it stops few rows, and never a wrong one."""
+    The filter is a table of at most 2**(FILTER_BITS - 6) words of bits, broadcast from one file, whatever the number of
+    rows, so big rows that need no join are not shuffled. Once very many keys are wanted it stops few rows, and never a wrong one."""
     i = F.shiftrightunsigned("h", 64 - FILTER_BITS)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")
     words = wanted.toDF("h").groupBy(F.shiftrightunsigned(i, 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    words = F.broadcast(written(words, "key-filter"))
+    words = F.broadcast(written(words.repartition(1), "key-filter"))
     both = rows.withColumn("__h", key).withColumn("__word", F.shiftrightunsigned("__h", 64 - FILTER_BITS + 6)).join(words, "__word", "left")
     hit = F.coalesce(F.expr(f"(shiftright(__bits, cast(shiftrightunsigned(__h, {64 - FILTER_BITS}) & 63 as int)) & 1) = 1"), F.lit(False))
     pick = lambda keep: both.filter(hit if keep else ~hit).select(*rows.columns)

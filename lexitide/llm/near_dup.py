@@ -133,31 +133,26 @@ def _setter(k: int, wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _fixpoint(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node hangs under one node, which hangs under none: then that is its group's smallest."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links of ids -> (id, c): each linked id with the smallest id that it reaches.
 
     Alternating large-star and small-star contraction; every step works by grouped minima and joins, so a node
-    with very many links is never gathered anywhere."""
+    with very many links is never gathered anywhere. One table is written a round, and none where links are stars."""
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = _fixpoint(edges)
-    while seen[0]:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "small-star")
-        now = _fixpoint(edges)
-        if now == seen:
-            break
-        seen = now
+        edges = written(small.distinct(), "stars")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("c"))
 
 
@@ -294,7 +289,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     both = both.withColumn("common", F.size(F.array_intersect("su", "sp"))).withColumn("union", F.col("n") + F.size("sp") - F.col("common"))
     tested = written(both.select("p", "u", "n", (F.col("common") / F.col("union")).alias("j"), (100 * F.col("common") >= percent * F.col("union")).alias("linked")), "compared")
 
-    first = written(components(tested.filter("linked").select("u", F.col("p").alias("v"))), "groups")
+    first = components(tested.filter("linked").select("u", F.col("p").alias("v")))
     members = _members(tested, first, percent)
     many = _sizes(members, block).filter("n_odd > 1").select("p")
     rare = _with_rare_partner(spread_join(members, many, ["p"], ["u"]), sets, percent)
@@ -302,9 +297,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     second = components(_block_links(members, sets.select("node", "s"), percent, block))
     named = classes.select("f1", "f2", "n", "id", "node").join(first.select(F.col("id").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = spread_join(named, second.select(F.col("id").alias("c"), F.col("c").alias("last")), ["c"], ["node"], how="left").withColumn("c", F.coalesce("last", "c")).drop("last")
-    named = written(named.select("f1", "f2", "n", "id", F.col("c").alias("group")), "grouped")
+    named = named.select("f1", "f2", "n", "id", F.col("c").alias("group"))
     smallest = F.col("group").alias("c")
     if shared_ids:
+        named = written(named, "grouped")
         named = spread_join(named, named.groupBy("group").agg(F.min("id").alias("c")), ["group"], ["f1"])
         smallest = F.col("c")
     own = spread_join(sketch.filter("n > 0").select("rk", "id", "n", "f1", "f2"), named.select("f1", "f2", "n", "group", smallest), ["f1", "f2", "n"], ["rk"])
@@ -327,10 +323,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     marked = spread_join(groups, heads, ["group"], ["rk"]).withColumn("first", F.col("rk") == F.col("head.rk"))
     lost = marked.filter("not first").select("rk").distinct()
     twice = marked.filter("first").groupBy("rk").agg(F.count("*").alias("of")).filter("of > 1").select("rk")
-    gone = written(lost.unionByName(twice), "near-lost")
+    gone = written(lost.withColumn("again", F.lit(False)).unionByName(twice.withColumn("again", F.lit(True))), "near-lost")
     key = row_key(F.col(id_col), F.col(text_col))
-    kept = without_rows(docs, key, gone)
-    twice = written(twice, "near-twice")
+    kept = without_rows(docs, key, gone.select("rk"))
+    twice = gone.filter("again").select("rk")
     if twice.isEmpty():
         return kept
     some, _ = split_by_key(docs.withColumn("__rk", key), F.col("__rk.a"), twice.select("rk.a"))

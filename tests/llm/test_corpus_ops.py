@@ -362,3 +362,40 @@ def test_isotonic_rises():
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert json.dumps(sorted(queries.ORACLES)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_signatures_are_the_same_however_elements_are_cut():
+    random = np.random.default_rng(4)
+    n = random.integers(0, 300, 40)
+    n[3] = 0
+    first = np.concatenate([[0], np.cumsum(n)])
+    hashes = random.integers(0, 2**63, first[-1], dtype=np.uint64)
+    whole = near_dup.super_minhash(hashes, first, 240)
+    assert np.isinf(whole[3]).all()
+    for most in (1, 7, 1000):
+        assert np.array_equal(near_dup.super_minhash(hashes, first, 240, most=most), whole)
+
+
+def test_components_reach_the_smallest_of_chains_stars_and_rings(spark):
+    chain = [(i, i + 1) for i in range(60)]
+    star = [(100, 100 + i) for i in range(1, 30)]
+    ring = [(200 + i, 200 + (i + 7) % 20) for i in range(20)]
+    random = np.random.default_rng(2)
+    loose = [(int(a), int(b)) for a, b in random.integers(300, 400, (70, 2))]
+    links = [*chain, *star, *ring, *loose, (5, 5)]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    for some in (links, star, []):
+        got = near_dup.components(spark.createDataFrame(some, "u long, v long")).collect()
+        named = dict((r["id"], r["c"]) for r in got)
+        assert len(named) == len(got)
+        ends = {x for link in some for x in link}
+        assert {x: named.get(x, x) for x in ends} == {x: find(x) for x in ends}
