@@ -97,7 +97,7 @@ def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refine_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.refine(document_segments(spark, sf_dir))
+    return pipeline.refine(document_segments(spark, sf_dir), ordered=True)
 
 
 def merge_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,18 +252,19 @@ def ffprobe_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of three words each of the documents' lines, with their words."""
-    rows = document_segments(spark, sf_dir).select("media_id", "seg_idx", F.posexplode("words").alias("pos", "w"))
-    rows = rows.select("media_id", (F.col("seg_idx") * 100_000 + F.floor(F.col("pos") / 3)).alias("seg_idx"), "pos", "w")
-    rows = rows.groupBy("media_id", "seg_idx").agg(F.min("w.start_ms").alias("start_ms"), F.max("w.end_ms").alias("end_ms"), F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("ws"))
-    words = F.transform("ws", lambda x: x["w"])
-    return rows.select("media_id", "seg_idx", "start_ms", "end_ms", text.strip(F.array_join(F.transform(words, lambda w: w["word"]), "")).alias("text"), words.alias("words"))
+    """Segments of three words each of the documents' lines, with their words. Words of a line follow one another in time."""
+    rows = document_segments(spark, sf_dir).select("media_id", "seg_idx", "words")
+    n = F.size("words")
+    rows = rows.select("media_id", "seg_idx", "words", F.explode(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / 3).cast("int")))).alias("nth"))
+    rows = rows.select("media_id", (F.col("seg_idx") * 100_000 + F.col("nth")).alias("seg_idx"), F.slice("words", F.col("nth") * 3 + 1, F.lit(3)).alias("words"))
+    joined = F.concat(*(F.coalesce(F.get("words", F.lit(i))["word"], F.lit("")) for i in range(3)))
+    return rows.select("media_id", "seg_idx", F.get("words", F.lit(0))["start_ms"].alias("start_ms"), F.element_at("words", -1)["end_ms"].alias("end_ms"), text.strip(joined).alias("text"), "words")
 
 
 def refine_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media of three kinds by their id: without any words, with words in every fourth segment only, with words in all."""
     timed = F.when(F.col("media_id") % 3 == 0, False).when(F.col("media_id") % 3 == 1, F.col("seg_idx") % 4 == 0).otherwise(True)
-    return pipeline.refine(_triples(spark, sf_dir).withColumn("words", F.when(timed, F.col("words"))))
+    return pipeline.refine(_triples(spark, sf_dir).withColumn("words", F.when(timed, F.col("words"))), ordered=True)
 
 
 HAN = ("大家", "好", "今天", "我们", "来", "学习", "一下，", "这个", "新的", "功能。", "首先", "但是", "看", "界面", "然后", "为了", "步骤、", "去", "操作", "因为", "ok", "所以", "比如说")

@@ -1,11 +1,15 @@
 """Fixtures with exact expected rows, and invariants."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexitide.functions import fold, lexicon, media, text
 from lexitide.operators import clean, fallback, islands, layout, merge, pipeline, recognise, segment
-from lexitide.sources import audio, srt, stt
+from lexitide.plans import queries
+from lexitide.sources import audio, srt, stt, timeline
 
 SEG = "media_id long, seg_idx long, start_ms long, end_ms long, text string"
 WORDS = "words array<struct<word:string,start_ms:bigint,end_ms:bigint>>"
@@ -301,3 +305,97 @@ def test_white_space_is_stripped_but_zero_width_space_kept(spark):
     cases = {"\u3000\t a b \x1f\xa0": "a b", "\u200bx\u200b ": "\u200bx\u200b", "\x85": "", "": ""}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.strip(F.col("t")).alias("s")).collect()
     assert {r.t: r.s for r in got} == cases == {k: k.strip() for k in cases}
+
+
+ODD_WORDS = ("the", " and", " So", "​", " ", "", None, " x", "。", "我们", " 因为", "but", " which,", "end.", " a b", "\u3000首先", " extraordinarily", "y" * 30, "é!", " However")
+
+
+def odd_segments(n=400, seed=3):
+    """Media of all kinds: without words, with some, with repeated texts and starts, words that overlap or lack what they need."""
+    pick = random.Random(seed)
+    for i in range(n):
+        at, words = pick.choice([0, 0, 500, 1000, None]), []
+        now = at or 0
+        for _ in range(pick.choice([0, 0, 1, 2, 3, 9, 90]) if i % 4 else 0):
+            ms = pick.choice([0, 60, 120, 300, 5000])
+            words.append((pick.choice(ODD_WORDS), pick.choice([now, now, now, now - 100, None]), now + ms))
+            now += ms + pick.choice([0, 0, 40, 250, 300, 500])
+        yield (i % 4, i, at, (at or 0) + pick.choice([0, 900, 4000]), pick.choice(["one", " one", "two words ", "", "。end", None, "z"]), pick.choice([words, words or None]))
+
+
+@pytest.mark.parametrize("options", [{}, {"merge": False}, {"max_chars": 9, "max_ms": 700}, {"pause": 200, "max_gap_ms": 300}])
+def test_refine_is_what_its_steps_give(spark, options):
+    """Step by step: filters, first of repeated rows, lines by the fold, joins one after the other."""
+    df = spark.createDataFrame(list(odd_segments()), f"{SEG}, {WORDS}")
+    most, ms = options.get("max_chars", lexicon.MAX_CHARS), options.get("max_ms", lexicon.MAX_LINE_MS)
+
+    def join(parts, limit):
+        out = []
+        for p in parts:
+            t = p[3].strip()
+            last = out[-1][3].strip() if out else ""
+            near = not out or "max_gap_ms" not in options or None not in (p[1], out[-1][2]) and p[1] - out[-1][2] <= options["max_gap_ms"]
+            meet = near and last[-1:].isascii() and last[-1:].isalpha() and t[:1].isascii() and t[:1].isalpha()
+            if meet and len((last + t).replace(" ", "")) <= limit:
+                out[-1] = (*out[-1][:2], p[2], last + t)
+            else:
+                out.append(p)
+        return out
+
+    clean_ = text.pinned(clean.dedup_segments(df).withColumn("raw", F.coalesce(F.size("words"), F.lit(0))).withColumn("words", F.coalesce(clean.clean_words(F.col("words")), F.expr("array()").cast(WORDS[6:]))), "words")
+    lined = segment.with_lines(clean_, text.pause_ms(text.language_of_words(F.col("words")), options.get("pause")), most, ms)
+    media_ = {}
+    for r in lined.orderBy("media_id", "seg_idx").collect():
+        media_.setdefault(r.media_id, []).append(r)
+    want = []
+    for m, rs in media_.items():
+        parts = [(r.seg_idx, r.start_ms, r.end_ms, r.text) for r in rs]
+        if len(rs) > 1 and not any(r.raw > 0 for r in rs):
+            parts = join(parts, 2 * most) if options.get("merge", True) else parts
+        else:
+            parts = [x for r, p in zip(rs, parts, strict=True) for x in ([(0, z.start_ms, z.end_ms, z.text) for z in r.lines] if r.words else [p])]
+        parts = [(i, *p[1:]) for i, p in enumerate(parts)]
+        want += [(m, *p) for p in (join(parts, most) if options.get("merge", True) else parts)]
+    got = [tuple(r) for r in pipeline.refine(df, **options).orderBy("media_id", "seg_idx").collect()]
+    assert got == want and len({m for m, *_ in got}) == 4
+
+
+def test_refine_of_ordered_rows_deals_them_once(spark):
+    """Only lines of text are shuffled, once; neither words nor three words each are."""
+    for query in (queries.refine_mixed, queries.refine_pipeline):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    back = spark.createDataFrame([(1, 1, 0, 9, "b", []), (1, 0, 0, 9, "a", [])], f"{SEG}, {WORDS}").coalesce(1)
+    assert rows(pipeline.refine(back), "text") == [("ab",)]
+    with pytest.raises(Exception, match="not in order"):
+        pipeline.refine(back, ordered=True).collect()
+
+
+def test_media_across_batches(spark):
+    """Media that begin, end or go on where a batch does."""
+    data = [(m if m else None, i, 10 * i, 10 * i + 9, "ab", [("ab", 10 * i, 10 * i + 9)] if m % 2 else None) for m in range(5) for i in range(7)]
+    df = spark.createDataFrame(data, f"{SEG}, {WORDS}")
+    want = sorted(map(str, pipeline.refine(df).collect()))
+    for most in (1, 3, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            assert sorted(map(str, pipeline.refine(df).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_clock_of_odd_texts(spark):
+    """Words, times and base as a plain loop gives them."""
+    texts = ["", None, "  ", "a", " a\t\tb. ", "é,ö 我们。!", "x" * 70 + " \x0b y?", "\u3000\xa0z", "a  b   c    d"]
+    df = timeline.segments_of(spark.createDataFrame([(i // 4, i, t) for i, t in enumerate(texts)], "media_id long, seg_idx long, text string"))
+    base = {}
+    for r in df.orderBy("seg_idx").collect():
+        toks = [t for t in re.split(r"[\x20\x09-\x0D]+", texts[r.seg_idx] or "") if t]
+        at = start = base.get(r.media_id, 0)
+        end, words = at, []
+        for i, t in enumerate(toks):
+            end = at + 60 * len(t)
+            words.append((" " * (i > 0) + t, at, end))
+            at = end + (550 if t[-1] in ".!?" else 260 if t[-1] == "," else 40 * (i % 4))
+        base[r.media_id] = at
+        assert (r.start_ms, r.end_ms, [tuple(w) for w in r.words]) == (start, end, words)
