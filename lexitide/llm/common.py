@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,12 +65,15 @@ HOT_BITS, HOT_SHARE, HOT_ROWS = 16, 12, 256
 def hot_buckets(hashes: DataFrame) -> DataFrame:
     """(__bucket, __salts) of the hot buckets of a column of 64-bit hashes: at most 2**HOT_SHARE rows, whatever the data, and one more.
 
-    __salts deals a bucket's rows into parts of at most that share, or HOT_ROWS. Counts are summed where rows lie."""
-    counts = hashes.toDF("h").groupBy(_bucket(F.col("h")).alias("__bucket")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.select("__bucket", F.ceil(F.col("n") / F.greatest(total / 2**HOT_SHARE, F.lit(HOT_ROWS))).cast("int").alias("__salts")).filter("__salts > 1")
-    # A bucket that no hash has: so the table is never empty, and plans are alike whether keys are hot or not.
-    return hot.unionByName(hashes.sparkSession.range(1).select(F.lit(-1).alias("__bucket"), F.lit(1).alias("__salts")))
+    __salts deals a bucket's rows into parts of at most that share, or HOT_ROWS. Counts are summed where rows lie; one job,
+    run here, brings the 2**HOT_BITS sums at most to the driver, so that plans hold a small table and not its making."""
+    counts = hashes.toDF("h").groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n")).toArrow()
+    n = counts.column("n").to_numpy()
+    salts = np.ceil(n / max(n.sum() / 2**HOT_SHARE, HOT_ROWS))
+    hot = salts > 1
+    # And a bucket that no hash has: so the table is never empty, and plans are alike whether keys are hot or not.
+    table = {"__bucket": np.append(counts.column("b").to_numpy()[hot], -1).astype(np.int32), "__salts": np.append(salts[hot], 1).astype(np.int32)}
+    return hashes.sparkSession.createDataFrame(pa.table(table))
 
 
 def _bucket(h: Column) -> Column:
@@ -86,7 +90,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     """left.join(right, keys) with rows of left that share a hot key dealt over several tasks by the columns `spread`.
 
     right's rows of hot buckets are copied to each salt; at most 2**(HOT_SHARE + 1) salts over 2**HOT_BITS buckets make
-    that an eighth more rows on average. `counted`, by default left, is a frame that is cheap to read and has the keys of left."""
+    that an eighth more rows on average. `counted`, by default left, is a frame that is cheap to read and has the keys of left; it is counted when called."""
     h = F.xxhash64(*keys)
     hot = hot_buckets((left if counted is None else counted).select(h.alias("h")))
     own = salted(left, h, hot, F.xxhash64(F.lit(3), *spread)).drop("__hot")

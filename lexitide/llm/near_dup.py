@@ -291,12 +291,13 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     first = components(tested.filter("linked").select("u", F.col("p").alias("v")))
     members = _members(tested, first, percent)
-    many = _sizes(members, block).filter("n_odd > 1").select("p")
-    rare = _with_rare_partner(spread_join(members, many, ["p"], ["u"]), sets, percent)
-    members = written(members.join(many, "p", "left_anti").unionByName(rare), "block-members")
+    crowded = written(_sizes(members, block).filter("n_odd > 1").select("p"), "crowded")
+    if not crowded.isEmpty():
+        rare = _with_rare_partner(written(spread_join(members, crowded, ["p"], ["u"]), "crowd"), sets, percent)
+        members = written(members.join(crowded, "p", "left_anti").unionByName(rare), "block-members")
     second = components(_block_links(members, sets.select("node", "s"), percent, block))
     named = classes.select("f1", "f2", "n", "id", "node").join(first.select(F.col("id").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    named = spread_join(named, second.select(F.col("id").alias("c"), F.col("c").alias("last")), ["c"], ["node"], how="left").withColumn("c", F.coalesce("last", "c")).drop("last")
+    named = spread_join(named, second.select(F.col("id").alias("c"), F.col("c").alias("last")), ["c"], ["node"], counted=first.select("c"), how="left").withColumn("c", F.coalesce("last", "c")).drop("last")
     named = named.select("f1", "f2", "n", "id", F.col("c").alias("group"))
     smallest = F.col("group").alias("c")
     if shared_ids:
@@ -321,9 +322,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     groups = written(groups.select("rk", "id", "group"), "near-groups")
     heads = groups.groupBy("group").agg(F.min(F.struct("id", "rk")).alias("head"))
     marked = spread_join(groups, heads, ["group"], ["rk"]).withColumn("first", F.col("rk") == F.col("head.rk"))
-    lost = marked.filter("not first").select("rk").distinct()
-    twice = marked.filter("first").groupBy("rk").agg(F.count("*").alias("of")).filter("of > 1").select("rk")
-    gone = written(lost.withColumn("again", F.lit(False)).unionByName(twice.withColumn("again", F.lit(True))), "near-lost")
+    by_row = marked.groupBy("rk").agg(F.min("first").alias("again"), F.count("*").alias("of"))  # equal rows are all first, or none
+    gone = written(by_row.filter("not again or of > 1").select("rk", "again"), "near-lost")
     key = row_key(F.col(id_col), F.col(text_col))
     kept = without_rows(docs, key, gone.select("rk"))
     twice = gone.filter("again").select("rk")

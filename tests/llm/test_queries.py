@@ -390,6 +390,27 @@ def test_joins_that_deal_hot_keys(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(100) if i % 3] and kept.columns == docs.columns
 
 
+def test_plans_hold_hot_tables_and_not_their_making(spark):
+    left = spark.createDataFrame([(7 if i % 2 else i, i) for i in range(4000)], "k long, v long")
+    right = spark.createDataFrame([(i, i * 10) for i in range(50)], "k long, w long")
+    plan = spread_join(left, right, ["k"], ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "subquery" not in plan and "LocalRelation" in plan
+    none = hot_buckets(spark.createDataFrame([], "h long"))
+    assert [tuple(r) for r in none.collect()] == [(-1, 1)] and none.dtypes == [("__bucket", "int"), ("__salts", "int")]
+
+
+def test_near_dup_keeps_few_plan_metrics_on_the_driver(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (1, text), (3, text + " more"), (3, text + " more"), (4, None), (4, None), (5, "other words that stand alone")]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert sorted(r.doc_id for r in near_dup.keep_one(table(spark, rows)).collect()) == [1, 4, 4, 5]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = [store.executionsList().apply(i) for i in range(before, store.executionsCount())]
+    # Each round of adaptive execution adds the metrics of its plan again: 4,477 in one query where plans made their hot tables.
+    assert max(x.metrics().size() for x in done) < 3000
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h int, rk string, pos int, kept boolean"
 
 
